@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from trialspark.llm import substring_dedup, suffix_dedup
+from trialspark.llm import bpe, langid, simhash, substring_dedup, suffix_dedup, topk
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.query,
+    "op3_simhash": simhash.query,
     "op4_suffix_dedup": suffix_dedup.query,
+    "op8_byte_bpe": bpe.query,
+    "op9_language_id": langid.query,
+    "op10_exact_top_k": topk.query,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_exact_top_k": topk.ORACLE}
