@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from trialspark.llm._session import tune, units, without
 from trialspark.llm._text import BYTE_HASH, Prefix, U, buffers, mix, sliding_min, spans_of_rows, words
 
-GROUP_BYTES = 4 << 20
+#: Stored input bytes of a group. Byte windows need more work space than word windows.
+GROUP_BYTES = {"word": 4 << 20, "byte": 5 << 19}
 SLICE = 1 << 19
 HOT = 4096
 G, TEXT = "__g", "__text"
@@ -308,7 +309,7 @@ def remove_repeats(docs: DataFrame, unit: Unit, kernel: Kernel, keep: Callable[[
     """``docs`` with ``outputs`` (name, SQL type, Arrow type) that ``keep`` makes of each row's bytes and its repeated spans in units."""
     tune(docs.sparkSession)
     docs = without(docs, *[n for n, _, _ in outputs], G, TEXT)
-    groups = units(docs, GROUP_BYTES)
+    groups = units(docs, GROUP_BYTES[unit.kind])
     spark = docs.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-groups // 8))
     dealt = docs.withColumns({G: F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.lit(17)), F.lit(groups)).cast("int"), TEXT: F.col(f"`{text_col}`").cast("binary")}).withColumn(id_col, F.col(f"`{id_col}`").cast("long")).drop(text_col).repartition(n, G)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -79,12 +81,25 @@ def _keep(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, list, st
     return len(words), len(words) - len(out), [{"start": a, "end": b} for a, b in spans], b" ".join(out).decode("utf-8", "replace")
 
 
-def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def _cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, list, str]:
+    """Like ``_keep``, but what is left keeps its own white space, and a text without repeats stays as it is."""
+    if not spans:
+        return len(text.split()), 0, [], text.decode("utf-8", "replace")
+    at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+    out, last = [], 0
+    for a, b in spans:
+        out.append(text[last : at[a][0]])
+        last = at[b][0] if b < len(at) else len(text)
+    out.append(text[last:])
+    return len(at), sum(b - a for a, b in spans), [{"start": a, "end": b} for a, b in spans], b"".join(out).decode("utf-8", "replace")
+
+
+def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, own_space: bool = False) -> DataFrame:
     """Remove every word that a repeat of ``window`` words covers, where a document with a smaller id has it too.
 
     Words are runs of bytes other than space and \\t \\n \\v \\f \\r.  Returns the columns of ``docs`` but the text, and
     ``n_words``, ``n_removed``, ``spans`` (removed runs of words, end exclusive) and ``kept`` (what is left, joined by a
-    space).  Repeats are judged on the input.
+    space; with ``own_space``, by the white space they had).  Repeats are judged on the input.
 
     Null text: no words.  Null id: neither removes nor is removed.  Rows with equal ids do not remove each other's words.
     Shorter than a window: unchanged.  Empty input: no rows.  Columns of ``docs`` with an output's name give way to it.
@@ -92,7 +107,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     """
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     outputs = [("n_words", "bigint", pa.int64()), ("n_removed", "bigint", pa.int64()), ("spans", "array<struct<start:int,end:int>>", span), ("kept", "string", pa.string())]
-    return remove_repeats(docs, Unit("word", window, max(1, window // 6)), _kernel(window), _keep, outputs, id_col, text_col, hot)
+    return remove_repeats(docs, Unit("word", window, max(1, window // 6)), _kernel(window), _cut if own_space else _keep, outputs, id_col, text_col, hot)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
