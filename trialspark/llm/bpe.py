@@ -259,7 +259,7 @@ class Tokenizer:
         """Packed ids of each row, and the packed ends (bytes from the row's start) of its pieces."""
         start, rows = pieces(data, offsets)
         text = data.tobytes()
-        ends = np.append(start[1:], len(data))
+        ends = np.append(start, len(data))[1:]
         cut = [text[a:b] for a, b in zip(start.tolist(), ends.tolist(), strict=True)]
         known, fresh = self.known.get, self.fresh
         missing = [w for w in set(cut) if w not in self.known and w not in fresh]

@@ -113,10 +113,11 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, good: str = "quality = 1 and toxic = 0", id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, good: str = "quality = 1 and toxic = 0", id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED, least_z: float = 3.0) -> Model:
     """Logistic regression on at most ``most`` labelled rows, those whose ids hash lowest.
 
-    Terms are words and their first letters that mark bad rows; clean rows are told by shares of upper case, digits, signs,
+    Terms are words and their first letters that mark bad rows (share in bad over share in good rows, ``least_z`` standard
+    errors apart at least); clean rows are told by shares of upper case, digits, signs,
     repeated lines, repeated and distinct words.  Labels with nulls, or of rows that are absent, teach nothing; without both kinds
     of labels every row has the labelled rows' odds (even ones, if there are none).
     """
@@ -148,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, good: str = "quality = 1 and toxic =
     nb, ng = (1 - y).sum(), y.sum()
     p = all_ / len(y)
     z = (bad / nb - (all_ - bad) / ng) / np.sqrt(p * (1 - p) * (1 / nb + 1 / ng) + 1e-12)
-    marks = np.flatnonzero((z > 4) & (bad >= 0.9 * all_))
+    marks = np.flatnonzero((z > least_z) & (bad >= 0.9 * all_))
     marks = np.sort(marks[np.argsort(-z[marks], kind="stable")][:MOST_TERMS])
     place = np.full(len(known_terms), -1)
     place[marks] = np.arange(len(marks))
