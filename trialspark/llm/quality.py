@@ -142,24 +142,25 @@ def fit(docs: DataFrame, labels: DataFrame, good: str = "quality = 1 and toxic =
     if len(y) == 0 or y.min() == y.max():
         return none
     lists = [np.frombuffer(x, "<u4") for x in got.terms]
-    row, term = np.repeat(np.arange(len(y)), [len(x) for x in lists]), np.concatenate(lists)
-    known_terms, code = np.unique(term, return_inverse=True)
-    bad = np.bincount(code, (1 - y)[row], len(known_terms))
-    all_ = np.bincount(code, minlength=len(known_terms))
+    terms, bad = np.unique(np.concatenate([x for x, g in zip(lists, y, strict=True) if not g]), return_counts=True)
+    in_good, n = np.unique(np.concatenate([x for x, g in zip(lists, y, strict=True) if g]), return_counts=True)
+    at = np.minimum(np.searchsorted(in_good, terms), len(in_good) - 1)
+    fine = np.where(in_good[at] == terms, n[at], 0) if len(in_good) else np.zeros(len(terms), int)
+    del in_good, n, at
     nb, ng = (1 - y).sum(), y.sum()
-    p = all_ / len(y)
-    z = (bad / nb - (all_ - bad) / ng) / np.sqrt(p * (1 - p) * (1 / nb + 1 / ng) + 1e-12)
-    marks = np.flatnonzero((z > least_z) & (bad >= 0.9 * all_))
-    marks = np.sort(marks[np.argsort(-z[marks], kind="stable")][:MOST_TERMS])
-    place = np.full(len(known_terms), -1)
-    place[marks] = np.arange(len(marks))
+    p = (bad + fine) / len(y)
+    z = (bad / nb - fine / ng) / np.sqrt(p * (1 - p) * (1 / nb + 1 / ng) + 1e-12)
+    marks = np.flatnonzero((z > least_z) & (bad >= 0.9 * (bad + fine)))
+    marks = terms[np.sort(marks[np.argsort(-z[marks], kind="stable")][:MOST_TERMS])]
     x = np.zeros((len(y), len(marks) + _share_columns()), np.float32)
-    keep = place[code] >= 0
-    x[row[keep], place[code[keep]]] = 1
-    for i, s in enumerate(got.shares):
+    for i, (t, s) in enumerate(zip(lists, got.shares, strict=True)):
+        if len(marks):
+            k = np.minimum(np.searchsorted(marks, t), len(marks) - 1)
+            x[i, k[marks[k] == t]] = 1
         x[i, len(marks) + np.frombuffer(s, "<i4")] = 1
+    del got, lists
     w, bias = _logistic(x, y)
-    return Model(known_terms[marks], w[: len(marks)], w[len(marks) :], bias)
+    return Model(marks, w[: len(marks)], w[len(marks) :], bias)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 600, rate: float = 0.1, decay: float = 2e-5) -> tuple[np.ndarray, float]:
