@@ -14,7 +14,7 @@ def runs(rows: DataFrame, key, order, value: str, threshold: float | None = None
     w = Window.partitionBy(*keys).orderBy(*_keys(order))
     before = F.lag(value).over(w)
     new = ~F.col(value).eqNullSafe(before) if threshold is None else F.coalesce(F.abs(F.col(value) - before) > threshold, F.lit(True))
-    num = rows.withColumns({"__i": F.row_number().over(w) - 1, "__new": F.when(F.lag(F.lit(1)).over(w).isNull() | new, 1).otherwise(0)})
+    num = rows.withColumns({"__i": (F.row_number().over(w) - 1).cast("long"), "__new": F.when(F.lag(F.lit(1)).over(w).isNull() | new, 1).otherwise(0)})
     num = num.withColumn("run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return num.groupBy(*keys, "run").agg(F.min("__i").alias("start"), F.count("*").alias("n"), F.min_by(value, "__i").alias("value"))
 

@@ -22,7 +22,7 @@ def _one_of(col: Column, values) -> Column:
 def numbered(events: DataFrame, key, order, name: str = "i") -> DataFrame:
     """``events`` with each row's position (from 0) within its key."""
     order = _keys(order)
-    return events.withColumn(name, F.row_number().over(Window.partitionBy(*_keys(key)).orderBy(*order)) - 1)
+    return events.withColumn(name, (F.row_number().over(Window.partitionBy(*_keys(key)).orderBy(*order)) - 1).cast("long"))
 
 
 def trial_segments(events: DataFrame, key, order, event: str, start, end, time: str | None = None, repeating: bool = False) -> DataFrame:
@@ -64,7 +64,7 @@ def trial_separate(events: DataFrame, key, order, event: str, time: str, start,
     at = lambda c, k: F.lead(c, k).over(w) if k >= 0 else F.lag(c, -k).over(w)
     fill = lambda c: F.coalesce(c, F.lit(pad)) if pad is not None else c
     rows = events.withColumns({
-        "i": F.row_number().over(w) - 1,
+        "i": (F.row_number().over(w) - 1).cast("long"),
         "events": F.array(*[fill(at(event, k + offset)) for k in range(n_events)]),
         "times": F.array(*[at(time, k + offset) for k in range(n_events)]),
     })

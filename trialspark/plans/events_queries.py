@@ -208,7 +208,7 @@ def downsample_value(spark, sf):
 
 @query(f"""WITH {E_SQL}, b AS (SELECT user_id, least(CAST(floor(value / 5.0) AS INTEGER), 19) AS bin FROM e WHERE value >= 0 AND value <= 100), n AS (SELECT user_id, bin, count(*) AS n FROM b GROUP BY ALL),
 g AS (SELECT user_id, CAST(bin AS INTEGER) AS bin FROM (SELECT DISTINCT user_id FROM e), generate_series(0, 19) AS q(bin))
-SELECT g.user_id, g.bin, 0.0 + (g.bin + 0.5) * 5.0 AS center, coalesce(n.n, 0) AS n, coalesce(n.n, 0) / 5.0 AS rate FROM g LEFT JOIN n ON g.user_id = n.user_id AND g.bin = n.bin""")
+SELECT g.user_id, g.bin, CAST((g.bin + 0.5) * 5.0 AS DOUBLE) AS center, coalesce(n.n, 0) AS n, coalesce(n.n, 0) / 5.0 AS rate FROM g LEFT JOIN n ON g.user_id = n.user_id AND g.bin = n.bin""")
 def bin_events(spark, sf):
     return temporal.bin_counts(events(spark, sf), "user_id", "value", 0.0, 100.0, 5.0).select("user_id", "bin", F.col("center").cast("double").alias("center"), "n", "rate")
 
@@ -331,7 +331,7 @@ def refractory_kept(spark, sf):
 
 
 @query(f"""WITH {E_SQL}, d AS (SELECT user_id, us - lag(us) OVER (PARTITION BY user_id ORDER BY us) AS dt FROM e)
-SELECT user_id, CAST(floor(dt / ({HOUR} * 1.0)) AS INTEGER) AS bin, count(*) AS n, (CAST(floor(dt / ({HOUR} * 1.0)) AS INTEGER) + 0.5) * {HOUR} AS center FROM d WHERE dt >= 0 AND dt < {DAY} GROUP BY ALL""")
+SELECT user_id, CAST(floor(dt / ({HOUR} * 1.0)) AS INTEGER) AS bin, count(*) AS n, (CAST(floor(dt / ({HOUR} * 1.0)) AS INTEGER) + 0.5::DOUBLE) * {HOUR} AS center FROM d WHERE dt >= 0 AND dt < {DAY} GROUP BY ALL""")
 def isi_hist(spark, sf):
     return spikes.isi_histogram(events(spark, sf), "user_id", "us", HOUR, DAY).withColumn("center", F.col("center").cast("double"))
 
