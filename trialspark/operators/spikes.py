@@ -26,9 +26,9 @@ def detect(samples: DataFrame, thresholds: DataFrame, key, order: str, value: st
 def waveforms(spikes: DataFrame, samples: DataFrame, key, order: str, value: str, before: int, length: int) -> DataFrame:
     """``(key, i, waveform)``: ``length`` samples from ``before`` ahead of each spike; null where the recording ends."""
     keys = _keys(key)
-    grid = spikes.select(*keys, "i").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(length - 1)))).withColumn("__at", F.col("i") - before + F.col("k"))
+    grid = spikes.select(*keys, "i").withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(length - 1)))).withColumn("__at", F.col("i") - before + F.col("__k"))
     rows = samples.select(*keys, F.col(order).alias("__at"), F.col(value).alias("__v"))
-    got = grid.join(rows, [*keys, "__at"], "left").groupBy(*keys, "i").agg(F.sort_array(F.collect_list(F.struct("k", "__v"))).alias("__w"))
+    got = grid.join(rows, [*keys, "__at"], "left").groupBy(*keys, "i").agg(F.sort_array(F.collect_list(F.struct("__k", "__v"))).alias("__w"))
     return got.select(*keys, "i", F.transform("__w", lambda x: x["__v"]).alias("waveform"))
 
 
