@@ -118,8 +118,14 @@ def test_top_k_against_brute_force(spark):
 def test_large_products_stay_exact():
     a = np.array([[1 << 28, 3]], np.int64)
     assert topk._scores(a, a).tolist() == [[(1 << 56) + 9]]
-    with pytest.raises(OverflowError):
-        topk._scores(a << 10, a << 10)
+    assert topk._scores(a << 10, a << 10).tolist() == [[1 << 61]]
+
+
+def test_vectors_of_several_lengths(spark):
+    rows = [(0, [1.0, 2.0]), (1, [2.0, 2.0]), (2, [1.0, 1.0, 1.0]), (20, [0.5, 1.0, 3.0]), (3, [1e300, 1.0]), (4, [])]
+    v = topk.quantise(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = sorted(tuple(r) for r in topk.top_k(v, v.where("vec_id % 20 = 0"), k=2).collect())
+    assert got == [(0, 1, 3, 1 << 61), (0, 2, 1, 64 * 128 + 128 * 128), (20, 1, 2, 64 * 32 + 64 * 64 + 64 * 192)]
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))

@@ -14,6 +14,8 @@ QUERIES = 4096
 BLOCK = 1024
 #: Integer products up to this are exact in doubles, which BLAS multiplies.
 EXACT = float(1 << 52)
+#: Scores of larger size count as this.
+LIMIT = 1 << 61
 
 
 def quantise(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64) -> DataFrame:
@@ -23,9 +25,8 @@ def quantise(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
     return rows.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0) & F.coalesce(F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))), F.lit(False))).select("vec_id", F.transform("x", lambda c: F.floor(c * F.lit(float(scale)))).alias("v"))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(np.int64).reshape(len(column), -1)
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), width)
 
 
 def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -35,9 +36,9 @@ def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     most = float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1]
     if most < EXACT:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    if most >= float(1 << 62):
-        raise OverflowError("inner products beyond 64 bits")
-    return a @ b.T
+    if most < float(LIMIT):
+        return a @ b.T
+    return np.clip(a.astype(object) @ b.T.astype(object), -LIMIT, LIMIT).astype(np.int64)
 
 
 class _Batch:
@@ -50,10 +51,7 @@ class _Batch:
 def _blocks(batch: pa.RecordBatch, width: int):
     for i in range(0, batch.num_rows, BLOCK):
         part = batch.slice(i, BLOCK)
-        v = _matrix(part.column(1))
-        if v.shape[1] != width:
-            raise ValueError("vectors of different lengths")
-        yield part.column(0).to_numpy(), v
+        yield part.column(0).to_numpy(), _matrix(part.column(1), width)
 
 
 def _select(spark, vectors: DataFrame, batch: _Batch, k: int) -> DataFrame:
@@ -133,20 +131,24 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, batch: int = QUER
     vectors in blocks.  Scores are computed anew in each round, and only histograms (``BINS`` numbers a query and task)
     and intervals of the batch's queries move.  A task passes on k rows a query at most, so rows that tie at the k-th value
     do not gather anywhere.  Fewer than k candidates: all.  Repeated query ids: the first vector by value is asked.
-    Repeated candidates count each.  No queries or no vectors: no rows.
+    Repeated candidates count each.  Vectors of another length than a query's are no candidates of it.  Scores beyond
+    2**61 in size count as that.  No queries or no vectors: no rows.
     """
     spark = vectors.sparkSession
     tune(spark)
-    out, after = None, None
-    asked = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
-    while True:
-        left = asked if after is None else asked.where(F.col("vec_id") > after)
-        rows = left.orderBy("vec_id").limit(batch).collect()
-        if not rows:
-            break
-        after = rows[-1]["vec_id"]
-        part = _select(spark, vectors, _Batch(np.array([r["vec_id"] for r in rows]), np.array([r["v"] for r in rows], np.int64)), k)
-        out = part if out is None else out.unionByName(part)
+    out = None
+    asked = queries.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("width", F.size("v"))
+    for (width,) in asked.select("width").distinct().orderBy("width").collect():
+        mine, after = vectors.where(F.size("v") == width), None
+        while True:
+            left = asked.where(F.col("width") == width)
+            left = left if after is None else left.where(F.col("vec_id") > after)
+            rows = left.orderBy("vec_id").limit(batch).collect()
+            if not rows:
+                break
+            after = rows[-1]["vec_id"]
+            part = _select(spark, mine, _Batch(np.array([r["vec_id"] for r in rows]), np.array([r["v"] for r in rows], np.int64)), k)
+            out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
