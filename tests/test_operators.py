@@ -248,3 +248,37 @@ def test_geometry(spark):
         assert np.allclose(m @ np.array(cur) / np.linalg.norm(cur), np.array(new) / np.linalg.norm(new)) and np.allclose(m @ m.T, np.eye(len(cur)))
     row = spark.createDataFrame([([0.0, 0.0], [2.0, 2.0])], "a array<double>, b array<double>").select(geo.direction("a").alias("n"), geo.direction("b").alias("d"), geo.unit_vector("b").alias("u"), geo.lerp([0, 0], "b", 3).alias("l")).first()
     assert row.n is None and abs(row.d - np.pi / 4) < 1e-12 and np.allclose(row.u, [2**-0.5] * 2) and row.l[1] == [1.0, 1.0]
+
+
+def test_preparation(spark):
+    from trialspark.operators import etl
+
+    clock = spark.createDataFrame([("a", i, i * 0.01) for i in range(200)], "k string, time long, t double")
+    sync = spark.createDataFrame([("a", 5 + i * 0.01 + 0.001) for i in range(200) if i != 50], "k string, timestamp double")
+    got = etl.correct_clock(clock, "k", "time", "t", sync, sync, fps=100.0, latency=0.0).orderBy("time").collect()
+    assert [r.time for r in got if r.sync_missing] == [] or len(got) == 200
+    tight = etl.correct_clock(clock, "k", "time", "t", sync, fps=300.0).orderBy("time").collect()
+    assert [r.time for r in tight if r.sync_missing] == [50] and abs(tight[50].timestamp_sync - tight[50].timestamp_bmi3d) < 1e-12
+    assert all(r.timestamp is not None for r in etl.best_timestamps(etl.correct_clock(clock, "k", "time", "t", sync, sync, 100.0, 0.0), "k", "time").collect())
+    whole, sizes = etl.concat_entries([("x", spark.range(3).withColumnRenamed("id", "i")), ("y", spark.range(2).withColumnRenamed("id", "i"))], "i")
+    assert sorted(r.i for r in whole.collect()) == [0, 1, 2, 3, 4] and [(r.entry, r.n) for r in sizes.orderBy("ord").collect()] == [("x", 3), ("y", 2)]
+
+
+def test_saccades_and_maps(spark):
+    from trialspark.operators import eye, spatial
+
+    fs, n = 1000.0, 2000
+    t = np.arange(n) / fs
+    x = 10 / (1 + np.exp(-(t - 0.5) / 0.008)) + 5 / (1 + np.exp(-(t - 1.4) / 0.008))
+    got = eye.find_saccades(np.stack([x, 0 * x], 1), fs)
+    assert len(got) == 2 and abs(got[0][0] - 0.49) < 0.03 and abs(got[1][0] - 1.39) < 0.03 and got[0][2] > got[1][2] > 2
+    a = np.random.default_rng(0).normal(size=(9, 9))
+    c = spatial.local_correlation(a, 2 * a, 5)
+    assert np.allclose(c, 1)
+    b = np.random.default_rng(1).normal(size=(9, 9))
+    want = (a[2:7, 2:7] * b[2:7, 2:7]).sum() / np.linalg.norm(a[2:7, 2:7]) / np.linalg.norm(b[2:7, 2:7])
+    assert abs(spatial.local_correlation(a, b, 5)[4, 4] - want) < 1e-12
+    rng = np.random.default_rng(2)
+    rows = [("e", ch, i, float(v)) for ch in range(4) for i, v in enumerate(rng.normal(size=4000) * (0.001 if ch == 3 else 1))]
+    bad = spatial.bad_channels(spark.createDataFrame(rows, "k string, ch int, i int, v double"), "k", "ch", "i", "v", 500.0, seconds=2.0, overlap=1.0, bandwidth=2.0)
+    assert {r.ch for r in bad.collect() if r.bad} == {3}

@@ -5,11 +5,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from trialspark.plans import events_queries, stats_queries
 
 SF = "/root/testdata/sf0.001"
-PLANS = {**events_queries.QUERIES, **stats_queries.QUERIES}
-SQL = {**events_queries.SQL, **stats_queries.SQL}
+PLANS = {k: f for plan in entry.PLANS for k, f in plan.QUERIES.items()}
+SQL = {k: s for plan in entry.PLANS for k, s in plan.SQL.items()}
 
 
 @pytest.fixture(scope="module")

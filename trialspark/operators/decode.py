@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trialspark.functions import models
 from trialspark.functions.geometry import TAU
 from trialspark.operators.segments import _keys
+from trialspark.workers import reachable
 
 
 def modulation_depth(b1: Column, b2: Column) -> Column:
@@ -115,7 +116,7 @@ def lda_accuracy(rows: DataFrame, key, features: str, label: str, folds: int = 5
 
     schema = ", ".join([f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys] + ["n long, accuracy double, std double"])
     cols = list(dict.fromkeys([*keys, features, label, *([order] if order else [])]))
-    return rows.select(*cols).groupBy(*keys).applyInPandas(run, schema)
+    return reachable(rows).select(*cols).groupBy(*keys).applyInPandas(run, schema)
 
 
 def windowed_lda(samples: DataFrame, key, trial: str, t: str, channel: str, value: str, label: str, lags: int = 3, folds: int = 5, seed: int = 1) -> DataFrame:
@@ -142,7 +143,7 @@ def factor_dimensions(rows: DataFrame, key, features: str, dims: list[int], fold
         return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in keys}, "dim": [k], "score": [float(np.mean(score))]})
 
     schema = ", ".join([f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys] + ["dim int, score double"])
-    return x.groupBy(*keys, "dim").applyInPandas(run, schema)
+    return reachable(x).groupBy(*keys, "dim").applyInPandas(run, schema)
 
 
 def cell_types(waves: DataFrame, key, unit: str, waveform: str, fs: float, seed: int = 0) -> DataFrame:
@@ -156,7 +157,7 @@ def cell_types(waves: DataFrame, key, unit: str, waveform: str, fs: float, seed:
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(mean) for k in keys}, unit: mean.index, "width": width, "kind": kind})
 
     schema = ", ".join(f"`{k}` {waves.schema[k].dataType.simpleString()}" for k in [*keys, unit]) + ", width double, kind int"
-    return waves.select(*keys, unit, waveform).groupBy(*keys).applyInPandas(run, schema)
+    return reachable(waves).select(*keys, unit, waveform).groupBy(*keys).applyInPandas(run, schema)
 
 
 def kalman_states(rows: DataFrame, key, order: str, states: str, observations: str, train: str) -> DataFrame:
@@ -173,4 +174,4 @@ def kalman_states(rows: DataFrame, key, order: str, states: str, observations: s
         return rest
 
     schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in [*keys, order]) + ", predicted array<double>"
-    return rows.select(*keys, order, states, observations, train).groupBy(*keys).applyInPandas(run, schema)
+    return reachable(rows).select(*keys, order, states, observations, train).groupBy(*keys).applyInPandas(run, schema)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from trialspark.functions import dsp
 from trialspark.operators.segments import _keys
+from trialspark.workers import reachable
 
 
 def _keyed(rows: DataFrame, keys: list[str], extra: str) -> str:
@@ -33,7 +34,7 @@ def per_series(rows: DataFrame, key, order: str, value: str, kernel: Callable[[n
             out.insert(0, k, pdf[k].iloc[0])
         return out
 
-    return rows.select(*keys, order, value).groupBy(*keys).applyInPandas(run, _keyed(rows, keys, schema))
+    return reachable(rows).select(*keys, order, value).groupBy(*keys).applyInPandas(run, _keyed(rows, keys, schema))
 
 
 def filter_series(rows: DataFrame, key, order: str, value: str, b: np.ndarray, a: np.ndarray, block: int = 1 << 16) -> DataFrame:
@@ -59,7 +60,7 @@ def filter_series(rows: DataFrame, key, order: str, value: str, b: np.ndarray, a
         return out
 
     kind = rows.schema[order].dataType.simpleString()
-    return both.groupBy(*keys, "__b").applyInPandas(run, _keyed(rows, keys, f"`{order}` {kind}, value double"))
+    return reachable(both).groupBy(*keys, "__b").applyInPandas(run, _keyed(rows, keys, f"`{order}` {kind}, value double"))
 
 
 def lfp(rows: DataFrame, key, order: str, value: str, fs: float, new_fs: float = 1000.0, low_cut: float = 500.0, buttord: int = 4) -> DataFrame:
@@ -167,7 +168,7 @@ def coherence(rows: DataFrame, pairs: DataFrame, channel: str, trial: str, order
         return pd.DataFrame({"a": pdf["a"].iloc[0], "b": pdf["b"].iloc[0], "f": np.repeat(f, len(t)), "t": np.tile(t, len(f)), "coherence": c.ravel(), "phase": ph.ravel()})
 
     kinds = {k: both.schema[k].dataType.simpleString() for k in "ab"}
-    return both.groupBy("a", "b").applyInPandas(run, f"a {kinds['a']}, b {kinds['b']}, f double, t double, coherence double, phase double")
+    return reachable(both).groupBy("a", "b").applyInPandas(run, f"a {kinds['a']}, b {kinds['b']}, f double, t double, coherence double, phase double")
 
 
 def matrix_multiply(rows: DataFrame, channels: list[str], matrix: np.ndarray, names: list[str], scale: float = 1.0) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from trialspark.workers import reachable
+
 
 def nonzero(samples: DataFrame) -> DataFrame:
     """Samples that aren't zero: stateless, for batch and streams alike."""
@@ -38,7 +40,7 @@ def discontinuities(samples: DataFrame, threshold: float | None = None, multipli
         hit = np.flatnonzero(step > thr) + 1
         yield pd.DataFrame({"channel": key[0], "t": t[hit], "value": v[hit], "jump": step[hit - 1]})
 
-    return samples.select("channel", "t", "value").groupBy("channel").applyInPandasWithState(work, "channel long, t double, value double, jump double", "last_t double, last_v double, thr double", "append", GroupStateTimeout.NoTimeout)
+    return reachable(samples).select("channel", "t", "value").groupBy("channel").applyInPandasWithState(work, "channel long, t double, value double, jump double", "last_t double, last_v double, thr double", "append", GroupStateTimeout.NoTimeout)
 
 
 def unique_discontinuities(hits: DataFrame, key: str, gap: float) -> DataFrame:
