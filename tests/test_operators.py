@@ -258,7 +258,7 @@ def test_preparation(spark):
     got = etl.correct_clock(clock, "k", "time", "t", sync, sync, fps=100.0, latency=0.0).orderBy("time").collect()
     assert [r.time for r in got if r.sync_missing] == [] or len(got) == 200
     tight = etl.correct_clock(clock, "k", "time", "t", sync, fps=300.0).orderBy("time").collect()
-    assert [r.time for r in tight if r.sync_missing] == [50] and abs(tight[50].timestamp_sync - tight[50].timestamp_bmi3d) < 1e-12
+    assert [r.time for r in tight if r.sync_missing] == [50] and abs(tight[50].timestamp_sync - tight[50].timestamp_internal) < 1e-12
     assert all(r.timestamp is not None for r in etl.best_timestamps(etl.correct_clock(clock, "k", "time", "t", sync, sync, 100.0, 0.0), "k", "time").collect())
     whole, sizes = etl.concat_entries([("x", spark.range(3).withColumnRenamed("id", "i")), ("y", spark.range(2).withColumnRenamed("id", "i"))], "i")
     assert sorted(r.i for r in whole.collect()) == [0, 1, 2, 3, 4] and [(r.entry, r.n) for r in sizes.orderBy("ord").collect()] == [("x", 3), ("y", 2)]

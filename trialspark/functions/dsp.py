@@ -52,18 +52,40 @@ def _steady(b: np.ndarray, a: np.ndarray) -> np.ndarray:
     return np.linalg.solve(np.eye(n - 1) - m, (b[1:] - a[1:] * b[0]) / a[0])
 
 
+@cache
+def _responses(b: tuple, a: tuple, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First ``n`` samples of the filter's answers to an impulse and to its steady state, as far as they matter."""
+    b, a = np.array(b), np.array(a)
+    pole = float(np.max(np.abs(np.roots(a)))) if len(a) > 1 else 0.0
+    if 0 < pole < 1:
+        n = min(n, int(np.ceil(np.log(1e-17) / np.log(pole))) + len(a))
+    x = np.zeros((n, 2))
+    x[0, 0] = 1
+    state = np.stack([np.zeros(len(a) - 1), _steady(b, a)], 1)
+    y, _ = lfilter(b, a, x, state)
+    return y[:, 0], y[:, 1]
+
+
+def _filter(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """``x`` from a steady state at its first value on, by convolution with the answers above; columns at once."""
+    n = len(x)
+    h, z = _responses(tuple(b), tuple(a), 1 << max(6, (n - 1).bit_length()))
+    h, z = h[:n], z[:n]
+    size = 1 << (n + len(h) - 2).bit_length()
+    shape = (-1, *[1] * (x.ndim - 1))
+    y = np.fft.irfft(np.fft.rfft(x, size, axis=0) * np.fft.rfft(h, size).reshape(shape), size, axis=0)[:n]
+    y[: len(z)] += z.reshape(shape) * x[:1]
+    return y
+
+
 def filtfilt(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Forwards and backwards, with odd extension at the ends and steady initial states; several columns at once."""
     x = np.asarray(x, float)
     n = max(len(a), len(b))
-    b, a = np.pad(b, (0, n - len(b))), np.pad(a, (0, n - len(a)))
+    b, a = np.pad(b, (0, n - len(b))) / a[0], np.pad(a, (0, n - len(a))) / a[0]
     edge = min(3 * n, len(x) - 1)
     ext = np.concatenate([2 * x[:1] - x[edge:0:-1], x, 2 * x[-1:] - x[-2 : -edge - 2 : -1]]) if edge > 0 else x
-    zi = _steady(b, a)
-    zi = zi.reshape(-1, *[1] * (x.ndim - 1))
-    y, _ = lfilter(b, a, ext, zi * ext[:1])
-    y, _ = lfilter(b, a, y[::-1], zi * y[-1:])
-    y = y[::-1]
+    y = _filter(b, a, _filter(b, a, ext)[::-1])[::-1]
     return y[edge : len(y) - edge] if edge > 0 else y
 
 

@@ -11,7 +11,7 @@ from trialspark.operators.temporal import fill_missing, nearest
 
 
 def correct_clock(clock: DataFrame, key, time: str, internal: str, sync: DataFrame | None = None, measured: DataFrame | None = None, fps: float = 120.0, latency: float = 0.01) -> DataFrame:
-    """A clock's cycles ``(key, time)`` with ``timestamp_bmi3d``, ``timestamp_sync`` and ``timestamp_measure``.
+    """A clock's cycles ``(key, time)`` with ``timestamp_internal``, ``timestamp_sync`` and ``timestamp_measure``.
 
     The internal clock is moved to start with the sync clock; each cycle takes the sync pulse within 1.5 cycles of it or, where
     one is missing, the moved internal time.  Measured times are matched after a latency and dropped for keys that miss a
@@ -21,13 +21,13 @@ def correct_clock(clock: DataFrame, key, time: str, internal: str, sync: DataFra
     first = clock.groupBy(*keys).agg(F.min(internal).alias("__c0"))
     if sync is not None:
         start = sync.groupBy(*keys).agg(F.min("timestamp").alias("__s0"))
-        moved = clock.join(first, keys).join(start, keys, "left").withColumn("timestamp_bmi3d", F.col(internal) - F.col("__c0") + F.coalesce("__s0", "__c0"))
-        moved = nearest(moved.select(*keys, time, "timestamp_bmi3d"), sync, keys, "timestamp_bmi3d", "timestamp", radius)
-        out = moved.withColumnRenamed("match_time", "__m").withColumn("timestamp_sync", F.coalesce("__m", "timestamp_bmi3d")).withColumn("sync_missing", F.col("__m").isNull()).drop("__m")
+        moved = clock.join(first, keys).join(start, keys, "left").withColumn("timestamp_internal", F.col(internal) - F.col("__c0") + F.coalesce("__s0", "__c0"))
+        moved = nearest(moved.select(*keys, time, "timestamp_internal"), sync, keys, "timestamp_internal", "timestamp", radius)
+        out = moved.withColumnRenamed("match_time", "__m").withColumn("timestamp_sync", F.coalesce("__m", "timestamp_internal")).withColumn("sync_missing", F.col("__m").isNull()).drop("__m")
     else:
-        out = clock.select(*keys, time, F.col(internal).alias("timestamp_bmi3d"), F.lit(None).cast("double").alias("timestamp_sync"), F.lit(True).alias("sync_missing"))
+        out = clock.select(*keys, time, F.col(internal).alias("timestamp_internal"), F.lit(None).cast("double").alias("timestamp_sync"), F.lit(True).alias("sync_missing"))
     if measured is not None:
-        out = nearest(out.withColumn("__a", F.coalesce("timestamp_sync", "timestamp_bmi3d")), measured, keys, "__a", "timestamp", radius, latency=latency)
+        out = nearest(out.withColumn("__a", F.coalesce("timestamp_sync", "timestamp_internal")), measured, keys, "__a", "timestamp", radius, latency=latency)
         gaps = longest_run(out, keys, time, F.col("match_time").isNull())
         out = out.join(gaps, keys).withColumn("timestamp_measure", F.when(F.col("longest") < fps, F.col("match_time"))).drop("match_time", "longest", "__a")
     else:
@@ -43,7 +43,7 @@ def event_times(events: DataFrame, clock: DataFrame, key, time: str) -> DataFram
 def best_timestamps(clock: DataFrame, key, time: str) -> DataFrame:
     """``timestamp``: the measured time, holes filled from the next one; without any, the sync time, then the internal."""
     filled = fill_missing(clock, key, time, "timestamp_measure", "__f")
-    return filled.withColumn("timestamp", F.coalesce("__f", "timestamp_sync", "timestamp_bmi3d")).drop("__f")
+    return filled.withColumn("timestamp", F.coalesce("__f", "timestamp_sync", "timestamp_internal")).drop("__f")
 
 
 def blank_frozen(rows: DataFrame, key, order, watched: list[str], blank: list[str]) -> DataFrame:

@@ -63,6 +63,15 @@ def best_level(hits: DataFrame, key, alt: str) -> DataFrame:
     return each.groupBy(*keys).agg(F.max_by(F.struct("level", "gain"), F.struct(F.col("gain"), -F.col("level"))).alias("b")).select(*keys, "b.*")
 
 
+def accllr_latency(rows: DataFrame, key, trial: str, i: str, value: str, alt: str, levels: list[float], samplerate: float) -> DataFrame:
+    """``(key, trial, level, latency)`` of alt trials that reach the key's best level upwards; the level is chosen over both conditions."""
+    keys = _keys(key)
+    acc = accllr(rows, keys, trial, i, value, alt)
+    hits = detect(acc, [*keys, alt], trial, i, "accllr", levels)
+    best = best_level(hits, keys, alt).select(*keys, "level")
+    return hits.join(best, [*keys, "level"]).where(F.col(alt) & (F.col("side") == 1)).select(*keys, trial, "level", (F.col("at") / samplerate).alias("latency"))
+
+
 def machine_dynamics(f: str, order: int) -> tuple[Column, Column]:
     """Real and imaginary part of the plant 1, 1/s or 1/s(s+1) at s = 2 pi i f."""
     w = F.lit(6.283185307179586) * F.col(f)

@@ -202,6 +202,43 @@ def pair_correlation(rows: DataFrame, key, item: str, at: str, value: str, weigh
     return both.groupBy(*keys, "a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"))
 
 
+def ranked(rows: DataFrame, key, value: str) -> DataFrame:
+    """``rows`` with the value replaced by its average rank within the key: Spearman's correlations are Pearson's of these."""
+    return midranks(rows, key, value, "__rank").withColumn(value, F.col("__rank")).drop("__rank")
+
+
+def correlation_over_distance(rows: DataFrame, places: DataFrame, key, item: str, at: str, value: str, bins: int = 20, most: float = 1.0, spearman: bool = True) -> DataFrame:
+    """``(key, bin, center, n, r)``: mean absolute correlation of pairs of items by equal bins of their distance in (0, most].
+
+    ``places(item, x, y)``; pairs at distance 0 are left out.
+    """
+    keys = _keys(key)
+    r = pair_correlation(ranked(rows, [*keys, item], value) if spearman else rows, keys, item, at, value)
+    a = places.select(F.col(item).alias("a"), F.col("x").alias("__ax"), F.col("y").alias("__ay"))
+    b = places.select(F.col(item).alias("b"), F.col("x").alias("__bx"), F.col("y").alias("__by"))
+    d = r.join(a, "a").join(b, "b").withColumn("__d", F.sqrt((F.col("__ax") - F.col("__bx")) ** 2 + (F.col("__ay") - F.col("__by")) ** 2))
+    width = most / bins
+    x = d.where((F.col("__d") > 0) & (F.col("__d") <= most)).withColumn("bin", F.least(F.floor(F.col("__d") / width), F.lit(bins - 1)).cast("int"))
+    return x.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.avg(F.abs("r")).alias("r")).withColumn("center", (F.col("bin") + 0.5) * width)
+
+
+def random_timestamps(spark, n: int, start: float, end: float, samplerate: float | None = None, seed: int = 0) -> DataFrame:
+    """``n`` repeatable uniform times in [start, end), or as many different samples of a grid, in order."""
+    if samplerate is None:
+        return spark.range(n).select((F.lit(start) + hash_uniform("id", seed=seed) * (end - start)).alias("t")).orderBy("t")
+    grid = spark.range(int((end - start) * samplerate)).select((F.lit(start) + F.col("id") / samplerate).alias("t"), hash_uniform("id", seed=seed).alias("u"))
+    return grid.orderBy("u").limit(n).select("t").orderBy("t")
+
+
+def distances(points: DataFrame, key, item: str, x: str, y: str) -> DataFrame:
+    """``(key, a, b, distance)`` of all pairs a < b of a key's points (the channels of one array)."""
+    keys = _keys(key)
+    a = points.select(*keys, F.col(item).alias("a"), F.col(x).alias("__x"), F.col(y).alias("__y"))
+    b = points.select(*keys, F.col(item).alias("b"), F.col(x).alias("__u"), F.col(y).alias("__v"))
+    d = F.sqrt((F.col("__x") - F.col("__u")) ** 2 + (F.col("__y") - F.col("__v")) ** 2)
+    return a.join(b, keys).where("a < b").select(*keys, "a", "b", d.alias("distance"))
+
+
 def normal_cdf(z: Column) -> Column:
     """Standard normal distribution function, to 7 places (Abramowitz and Stegun 7.1.26)."""
     # Fixed values of the approximation.

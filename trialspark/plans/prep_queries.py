@@ -23,13 +23,13 @@ def query(sql: str | None = None):
 
 @query(f"""WITH {S_SQL}, c AS (SELECT user_id, i, us - min(us) OVER (PARTITION BY user_id) + (SELECT min(b.us) FROM e b WHERE b.user_id = s.user_id AND b.event_type <> 'view') AS a FROM s WHERE event_type = 'view'),
 m AS (SELECT *, (SELECT b.us FROM e b WHERE b.user_id = c.user_id AND b.event_type <> 'view' AND abs(b.us - c.a) <= {HOUR} * 6 ORDER BY abs(b.us - c.a), b.us LIMIT 1) AS m FROM c)
-SELECT user_id, i, CAST(a AS BIGINT) AS timestamp_bmi3d, CAST(coalesce(m, a) AS BIGINT) AS timestamp_sync, m IS NULL AS sync_missing FROM m""")
+SELECT user_id, i, CAST(a AS BIGINT) AS timestamp_internal, CAST(coalesce(m, a) AS BIGINT) AS timestamp_sync, m IS NULL AS sync_missing FROM m""")
 def correct_clock(spark, sf):
     s = samples(spark, sf)
     clock = s.where("event_type = 'view'").select("user_id", "i", F.col("us").cast("double").alias("t"))
     sync = s.where("event_type <> 'view'").select("user_id", F.col("us").cast("double").alias("timestamp"))
     got = etl.correct_clock(clock.join(sync.select("user_id").distinct(), "user_id", "left_semi"), "user_id", "i", "t", sync, fps=1.5 / (HOUR * 6))
-    return got.select("user_id", "i", F.col("timestamp_bmi3d").cast("long").alias("timestamp_bmi3d"), F.col("timestamp_sync").cast("long").alias("timestamp_sync"), "sync_missing")
+    return got.select("user_id", "i", F.col("timestamp_internal").cast("long").alias("timestamp_internal"), F.col("timestamp_sync").cast("long").alias("timestamp_sync"), "sync_missing")
 
 
 @query(f"WITH {S_SQL}, w AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY i) AS p FROM s) SELECT event_id, CASE WHEN p IS NULL OR p <> event_type THEN value END AS value FROM w")
