@@ -20,6 +20,9 @@ MOST_TERMS = 1024
 #: A table of sites up to this many rows is broadcast; a larger one is joined by its keys.
 BROADCAST_SITES = 100_000
 BEGINNINGS = (4, 5)
+#: A term is strong if this share of the rows that have it is bad, and it stands this many standard errors out.
+STRONG_SHARE, STRONG_Z = 0.98, 6.0
+STRONG_EDGES = np.array([1, 4, 7])
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -90,10 +93,12 @@ def share_bins(shares: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Weights (of good) of terms, by their hash in order, and of shares' bins."""
+    """Weights (of good) of terms, by their hash in order, of shares' bins, and of how many ``strong`` terms a row has."""
 
     terms: np.ndarray
+    strong: np.ndarray
     weights: np.ndarray
+    counts: np.ndarray
     shares: np.ndarray
     bias: float
 
@@ -107,12 +112,20 @@ class Model:
         term, row = term[hit], row[hit]
         at = np.minimum(np.searchsorted(self.terms, term), max(0, len(self.terms) - 1))
         out = self.shares[share_bins(shares, n)].sum(1) + self.bias
-        if len(self.terms):
+        if not len(self.terms):
+            out += self.counts[0]
+        else:
             hit = self.terms[at] == term
             out += np.bincount(row[hit], self.weights[at[hit]], len(off) - 1)
+            out += self.counts[strong_bin(np.bincount(row[hit], self.strong[at[hit]], len(off) - 1))]
         return out
 
 
+def strong_bin(n: np.ndarray) -> np.ndarray:
+    """Bin of a number of strong terms; a word counts with its beginnings."""
+    return np.searchsorted(STRONG_EDGES, n, "right")
+
+
 def fit(docs: DataFrame, labels: DataFrame, good: str = "quality = 1 and toxic = 0", id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED, least_z: float = 3.0) -> Model:
     """Logistic regression on at most ``most`` labelled rows, those whose ids hash lowest.
 
@@ -138,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, good: str = "quality = 1 and toxic =
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").cast("binary").alias("t")).where("t is not null")
     got = rows.join(F.broadcast(chosen), "__id").select("t", F.col("__y").alias("y")).mapInArrow(make, "y int, terms binary, shares binary").limit(4 * most).toPandas()
     y = got.y.to_numpy(np.float64)
-    none = Model(np.zeros(0, np.uint32), np.zeros(0), np.zeros(_share_columns()), float(np.log((y.sum() + 1) / ((1 - y).sum() + 1))))
+    none = Model(np.zeros(0, np.uint32), np.zeros(0), np.zeros(0), np.zeros(len(STRONG_EDGES) + 1), np.zeros(_share_columns()), float(np.log((y.sum() + 1) / ((1 - y).sum() + 1))))
     if len(y) == 0 or y.min() == y.max():
         return none
     lists = [np.frombuffer(x, "<u4") for x in got.terms]
@@ -151,16 +164,22 @@ def fit(docs: DataFrame, labels: DataFrame, good: str = "quality = 1 and toxic =
     p = (bad + fine) / len(y)
     z = (bad / nb - fine / ng) / np.sqrt(p * (1 - p) * (1 / nb + 1 / ng) + 1e-12)
     marks = np.flatnonzero((z > least_z) & (bad >= 0.9 * (bad + fine)))
-    marks = terms[np.sort(marks[np.argsort(-z[marks], kind="stable")][:MOST_TERMS])]
-    x = np.zeros((len(y), len(marks) + _share_columns()), np.float32)
+    marks = np.sort(marks[np.argsort(-z[marks], kind="stable")][:MOST_TERMS])
+    strong = ((z > STRONG_Z) & (bad >= STRONG_SHARE * (bad + fine)))[marks].astype(float)
+    marks, m = terms[marks], len(marks)
+    x = np.zeros((len(y), m + len(STRONG_EDGES) + 1 + _share_columns()), np.float32)
     for i, (t, s) in enumerate(zip(lists, got.shares, strict=True)):
-        if len(marks):
-            k = np.minimum(np.searchsorted(marks, t), len(marks) - 1)
-            x[i, k[marks[k] == t]] = 1
-        x[i, len(marks) + np.frombuffer(s, "<i4")] = 1
+        n = 0.0
+        if m:
+            k = np.minimum(np.searchsorted(marks, t), m - 1)
+            k = k[marks[k] == t]
+            x[i, k] = 1
+            n = strong[k].sum()
+        x[i, m + strong_bin(n)] = 1
+        x[i, m + len(STRONG_EDGES) + 1 + np.frombuffer(s, "<i4")] = 1
     del got, lists
     w, bias = _logistic(x, y)
-    return Model(marks, w[: len(marks)], w[len(marks) :], bias)
+    return Model(marks, strong, w[:m], w[m : m + len(STRONG_EDGES) + 1], w[m + len(STRONG_EDGES) + 1 :], bias)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 600, rate: float = 0.1, decay: float = 2e-5) -> tuple[np.ndarray, float]:
