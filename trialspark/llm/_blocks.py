@@ -35,6 +35,8 @@ from trialspark.llm._text import BYTE_HASH, Prefix, U, buffers, mix, sliding_min
 GROUP_BYTES = {"word": 4 << 20, "byte": 5 << 19}
 SLICE = 1 << 19
 HOT = 4096
+#: Beyond so many partitions (or the session's own number) a partition has more groups, one after another.
+MOST_PARTITIONS = 20_000
 G, TEXT = "__g", "__text"
 PASSAGES = "b int, g int, keys binary, docs binary, rows binary, starts binary, wins binary, sizes binary, data binary, spans binary"
 
@@ -311,7 +313,7 @@ def remove_repeats(docs: DataFrame, unit: Unit, kernel: Kernel, keep: Callable[[
     docs = without(docs, *[n for n, _, _ in outputs], G, TEXT)
     groups = units(docs, GROUP_BYTES[unit.kind])
     spark = docs.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-groups // 8))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-groups // 8), MOST_PARTITIONS))
     dealt = docs.withColumns({G: F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.lit(17)), F.lit(groups)).cast("int"), TEXT: F.col(f"`{text_col}`").cast("binary")}).withColumn(id_col, F.col(f"`{id_col}`").cast("long")).drop(text_col).repartition(n, G)
     keys = dealt.groupBy(G).applyInArrow(_send_keys(unit, id_col, groups), "b int, g int, keys binary")
     answers = keys.groupBy("b").applyInArrow(_answer(hot), "g int, b int, bits binary")

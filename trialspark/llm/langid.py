@@ -7,6 +7,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from trialspark.llm._text import U, buffers, mix, spans_of_rows
 BINS = 1 << 15
 ORDERS = (1, 2, 3)
 SLICE = 1 << 19
+#: Groups into which tasks' counts go before they are added up.
+SALTS = 256
 UNKNOWN = "und"
 #: Code point that stands for every run of what isn't a letter.
 GAP = 0x20
@@ -129,19 +132,21 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoot
                 for k, lang in enumerate(langs):
                     sums[lang] = sums[lang] + table[k] if lang in sums else table[k]
                     seen[lang] = seen.get(lang, 0) + int((code == k).sum())
+        salt = TaskContext.get().partitionId() % SALTS
         for lang, table in sums.items():
             step = BINS // 16
             for s in range(16):
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([s], pa.int32()), pa.array([seen[lang] if s == 0 else 0]), pa.array([table[s * step : (s + 1) * step].tolist()], pa.list_(pa.int64()))], ["lang", "part", "docs", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([s], pa.int32()), pa.array([salt], pa.int32()), pa.array([seen[lang] if s == 0 else 0]), pa.array([table[s * step : (s + 1) * step].tolist()], pa.list_(pa.int64()))], ["lang", "part", "salt", "docs", "counts"])
 
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("lang"))
-    parts = rows.mapInArrow(count, "lang string, part int, docs long, counts array<long>")
+    parts = rows.mapInArrow(count, "lang string, part int, salt int, docs long, counts array<long>")
 
     def add(table: pa.Table) -> pa.Table:
         total = np.sum([np.asarray(x) for x in table["counts"].to_pylist()], axis=0)
-        return pa.table({"lang": table["lang"][:1], "part": table["part"][:1], "docs": [int(np.sum(table["docs"].to_numpy()))], "counts": pa.array([total.tolist()], pa.list_(pa.int64()))})
+        return pa.table({"lang": table["lang"][:1], "part": table["part"][:1], "salt": table["salt"][:1], "docs": [int(np.sum(table["docs"].to_numpy()))], "counts": pa.array([total.tolist()], pa.list_(pa.int64()))})
 
-    summed = parts.groupBy("lang", "part").applyInArrow(add, "lang string, part int, docs long, counts array<long>")
+    kind = "lang string, part int, salt int, docs long, counts array<long>"
+    summed = parts.groupBy("lang", "part", "salt").applyInArrow(add, kind).groupBy("lang", "part").applyInArrow(add, kind)  # in two steps, as there may be very many tasks
     got = summed.limit(16 * most_langs + 1).collect()
     if len(got) > 16 * most_langs:
         raise ValueError(f"more than {most_langs} languages")

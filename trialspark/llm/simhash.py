@@ -18,6 +18,8 @@ SEED = 42
 #: Fingerprints in a bucket of one agreeing segment beyond which its members are routed by a second one.
 DENSE = 4096
 FRONTIER = 1 << 20
+#: Routed fingerprints a block has at most on average.
+BLOCK_ROWS = 1 << 19
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _LANE = (np.arange(8) * 256).astype(np.int64)
 
@@ -174,7 +176,7 @@ def links(fps: DataFrame, radius: int = 3, dense: int = DENSE) -> DataFrame:
     whole = F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("w")))
     split = F.array(*[F.struct(F.lit(t).alias("sub"), part(t).alias("w")) for t in range(4)])
     dealt = routed.join(crowded, ["seg", "v"], "left").withColumn("q", F.explode(F.when(F.col("crowded"), split).otherwise(whole)))
-    blocks = max(8, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4)
+    blocks = max(8, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-fps.count() * 16 // BLOCK_ROWS))
     keyed = dealt.select("fp", "seg", F.col("q.sub").alias("sub"), F.pmod(F.xxhash64("seg", "v", "q.sub", "q.w"), F.lit(blocks)).alias("block"))
     return keyed.groupBy("block").applyInArrow(_link(radius), "u long, v long")
 
