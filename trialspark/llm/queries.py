@@ -16,4 +16,10 @@ QUERIES = {
     "op9_language_id": langid.query,
     "op10_exact_top_k": topk.query,
 }
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": mixing.ORACLE, "op6_warc": warc.ORACLE, "op10_exact_top_k": topk.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mix_sources": mixing.ORACLE,
+    "op2_substring_dedup": substring_dedup.ORACLE,
+    "op4_suffix_dedup": suffix_dedup.ORACLE,
+    "op6_warc": warc.ORACLE,
+    "op10_exact_top_k": topk.ORACLE,
+}

@@ -116,3 +116,20 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return suffix_dedup(docs).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+k AS (SELECT doc_id, b, unnest(generate_series(1, n - 49)) AS i FROM d WHERE n >= 50),
+h AS (SELECT doc_id, i, md5(b[i:i + 49]) AS h FROM k),
+f AS (SELECT h, min(doc_id) AS m FROM h GROUP BY h),
+hit AS (SELECT doc_id, i FROM h JOIN f USING (h) WHERE m < doc_id),
+island AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM hit),
+run AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM island),
+span AS (SELECT doc_id, r, min(i) AS a, max(i) + 50 AS e FROM run GROUP BY ALL),
+gap AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 1) AS a, a AS e FROM span UNION ALL SELECT s.doc_id, max(e), any_value(n) + 1 FROM span s JOIN d ON s.doc_id = d.doc_id GROUP BY 1),
+kept AS (SELECT g.doc_id, string_agg(hex(b[g.a:g.e - 1]), '' ORDER BY g.a) AS x FROM gap g JOIN d ON g.doc_id = d.doc_id WHERE g.e > g.a GROUP BY 1),
+c AS (SELECT doc_id, count(*) AS n_spans, sum(e - a) AS n_removed FROM span GROUP BY 1)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(CASE WHEN c.doc_id IS NULL THEN b ELSE unhex(coalesce(x, '')) END) AS kept_sha256
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
