@@ -130,7 +130,8 @@ def unique_conditions(trials: DataFrame, conditions: list[str], name: str = "con
 
     Only the distinct conditions are ranked in one place.
     """
-    rounded = trials.withColumns({f"__{c}": F.round(c, 6) for c in conditions})
+    number = lambda c: trials.schema[c].dataType.typeName() in ("double", "float", "decimal")
+    rounded = trials.withColumns({f"__{c}": F.round(c, 6) if number(c) else F.col(c) for c in conditions})
     cols = [f"__{c}" for c in conditions]
     ranked = rounded.select(*cols).distinct().withColumn(name, F.dense_rank().over(Window.orderBy(*cols)) - 1)
     joined = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in cols]

@@ -107,11 +107,9 @@ def data_segments(spark, sf):
 @query("""WITH c AS (SELECT DISTINCT l_returnflag, l_linestatus, l_tax FROM lineitem), r AS (SELECT *, dense_rank() OVER (ORDER BY l_returnflag, l_linestatus, l_tax) - 1 AS condition FROM (SELECT l_returnflag, l_linestatus, round(l_tax, 6) AS l_tax FROM c))
 SELECT r.condition, count(*) AS n, round(sum(l_quantity), 3) AS quantity FROM lineitem l JOIN r ON l.l_returnflag = r.l_returnflag AND l.l_linestatus = r.l_linestatus AND round(l.l_tax, 6) = r.l_tax GROUP BY 1""")
 def unique_conditions(spark, sf):
-    from pyspark.sql import Window
-
-    rows = table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus", F.round("l_tax", 6).alias("tax")).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
-    ranked = rows.withColumn("condition", F.dense_rank().over(Window.orderBy("l_returnflag", "l_linestatus", "tax")) - 1)  # of distinct conditions
-    return ranked.groupBy(F.col("condition").cast("long").alias("condition")).agg(F.sum("n").alias("n"), F.round(F.sum("q"), 3).alias("quantity"))
+    li = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_tax", "l_quantity")
+    got = segments.unique_conditions(li, ["l_returnflag", "l_linestatus", "l_tax"])
+    return got.groupBy(F.col("condition").cast("long").alias("condition")).agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 3).alias("quantity"))
 
 
 @query(f"""WITH {CUT} SELECT c.code, cut.user_id, start_i FROM cut, (VALUES ('click'), ('signup')) AS c(code) WHERE EXISTS (SELECT 1 FROM s WHERE s.user_id = cut.user_id AND s.i BETWEEN start_i AND end_i AND s.event_type = c.code)""")
@@ -230,7 +228,6 @@ SELECT event_id, CASE WHEN abs(p - value) <= 10 THEN value ELSE p END AS correct
 def validate_measurements(spark, sf):
     from pyspark.sql import Window
 
-    s = samples(spark, sf).select("event_id", "value", F.lag("value").over(Window.partitionBy("user_id").orderBy("i")).alias("expected"))
     s = samples(spark, sf).withColumn("expected", F.lag("value").over(Window.partitionBy("user_id").orderBy("i")))
     return temporal.validate(s, "expected", "value", 10.0).select("event_id", "corrected", "replaced")
 
