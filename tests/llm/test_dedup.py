@@ -165,3 +165,32 @@ def test_components_of_a_path_and_a_star(spark):
     got = {r.u: r.root for r in components.components(spark.createDataFrame(path, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, **{200 + i: 100 for i in range(50)}}
     assert components.components(spark.range(0).select(F.col("id").alias("u"), F.col("id").alias("v"))).count() == 0
+
+
+@pytest.mark.parametrize("by_word", [True, False])
+def test_rows_longer_than_a_slice(spark, monkeypatch, by_word):
+    from trialspark.llm import _blocks
+
+    r = random.Random(8)
+    words = [f"v{r.randint(0, 10**6)}" for _ in range(900)]
+    rows = [(1, " ".join(words[:500])), (2, " ".join(words[100:])), (3, "x" * 4000), (4, "y" + "x" * 3000 + " " + " ".join(words[200:260])), (5, " ".join(words[-70:]))]
+    unit, kernel = (_blocks.Unit("word", 50, 8), substring_dedup._kernel(50)) if by_word else (_blocks.Unit("byte", 50, 20), suffix_dedup._kernel(50, 1000))
+    data = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    off = np.append(0, np.cumsum([len(t) for _, t in rows]))
+    window = lambda g: sorted((int(a), int(s) + k) for a, s, n in zip(g.row, g.start, g.wins, strict=True) for k in range(n))
+    whole = window(_blocks._group(unit, data, off))
+    monkeypatch.setattr(_blocks, "SLICE", 700)
+    parts = _blocks._group(unit, data, off)
+    assert window(parts) == whole and len(set(whole)) == len(whole)
+    text = data.tobytes()
+    for a, s, n, p, q in zip(parts.row, parts.start, parts.wins, parts.first, parts.end, strict=True):
+        t = rows[a][1].encode()
+        want = b" ".join(t.split()[s : s + n + 49]) if by_word else t[s : s + n + 49]
+        assert text[p:q] == want
+
+
+def test_long_texts_have_the_same_fingerprint(monkeypatch):
+    texts = [" ".join(f"W{i % 37}" for i in range(n)) for n in (0, 1, 2, 3, 4, 50, 500)] + ["x" * 900, "a " + "x" * 900]
+    whole = [simhash.fingerprint(t.encode()) for t in texts]
+    monkeypatch.setattr(simhash, "PIECE", 40)
+    assert [simhash.fingerprint(t.encode()) for t in texts] == whole == [plain_fingerprint(t) for t in texts]

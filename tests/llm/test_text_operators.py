@@ -180,3 +180,18 @@ def test_sites_shrink_to_priors(spark):
     got = {(r.host, r.path): r.prior for r in quality.sites(spark.createDataFrame(rows, "host string, path string, p double")).collect()}
     assert got["big", "p"] > 0.85 and got["low", "p"] < 0.2
     assert 0.05 < got["tiny", "p"] < 0.6  # one row moves little
+
+
+def test_texts_longer_than_a_slice(codec, monkeypatch):
+    r = random.Random(6)
+    texts = ["".join(r.choice(["ab", " ", "'s", "\n", "é", "1", "?", " don't", "  "]) for _ in range(900)), "x" * 500, " a" * 300, "short"]
+    monkeypatch.setattr(bpe, "SLICE", 64)
+    both(codec, texts)
+    raw = texts[0].encode()
+    ids, ends = codec[0].encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    monkeypatch.setattr(bpe, "SLICE", 1 << 20)
+    assert ends == codec[0].encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[1]
+    monkeypatch.setattr(langid, "SLICE", 100)
+    data = np.frombuffer(("word " * 100).encode(), np.uint8)
+    bins, owner, has = langid.grams(data, np.array([0, len(data)]))
+    assert has.tolist() == [True] and set(owner) == {0} and len(bins) == len(owner) > 1200

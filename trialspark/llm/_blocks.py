@@ -64,9 +64,11 @@ class Runs:
     end: np.ndarray
 
 
-def _runs(unit: Unit, data: np.ndarray, off: np.ndarray, base: int, single: np.ndarray | None = None) -> Runs | None:
+def _runs(unit: Unit, data: np.ndarray, off: np.ndarray, base: int, single: np.ndarray | None = None, before: int = 0) -> Runs | None:
     """Runs of the rows that ``off`` (offsets into the group's ``data``) delimits; ``base``: number of the first row.
 
+    ``before``: units of the (only) row ahead of its first byte here.
+
     ``single``: keys of runs to be split into windows, each with its own hash as key.
     """
     lo, part, rel = int(off[0]), data[int(off[0]) : int(off[-1])], off - off[0]
@@ -99,7 +101,7 @@ def _runs(unit: Unit, data: np.ndarray, off: np.ndarray, base: int, single: np.n
             wins = np.concatenate([wins[~hot], np.ones(len(more), wins.dtype)])
             key = np.concatenate([key[~hot], mix(pre.of(more, more + unit.window) ^ U(0xE7037ED1A0B428DB))])
     last = at + wins + unit.window - 1
-    return Runs(row[at] + base, at - tok[row[at]], wins, key, pre.of(at, last), first[at] + lo, end[last - 1] + lo)
+    return Runs(row[at] + base, at - tok[row[at]] + before, wins, key, pre.of(at, last), first[at] + lo, end[last - 1] + lo)
 
 
 def _within(lengths: np.ndarray) -> np.ndarray:
@@ -107,8 +109,37 @@ def _within(lengths: np.ndarray) -> np.ndarray:
     return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
+def _long(unit: Unit, data: np.ndarray, a: int, b: int, row: int, single: np.ndarray | None) -> list[Runs]:
+    """Runs of a row longer than a slice, by pieces that overlap by a window less one unit."""
+    out, before = [], 0
+    while a < b:
+        end = min(b, a + SLICE)
+        if unit.kind == "word":
+            while True:
+                first, _, _ = words(data[a:end], np.array([0, end - a]))
+                # the last word may go on, so the piece needs a window and more unless it is the last
+                if end == b or len(first) > unit.window + 1:
+                    break
+                end = min(b, end + SLICE)
+            stop = end if end == b else a + int(first[-1])
+            step, place = (len(first), b) if end == b else (len(first) - unit.window, a + int(first[len(first) - unit.window]))
+        else:
+            stop = end
+            step, place = (end - a, b) if end == b else (end - a - unit.window + 1, end - unit.window + 1)
+        r = _runs(unit, data, np.array([a, stop]), row, single, before)
+        if r is not None:
+            out.append(r)
+        a, before = place, before + step
+    return out
+
+
 def _group(unit: Unit, data: np.ndarray, off: np.ndarray, single: np.ndarray | None = None) -> Runs:
-    parts = [r for i, j in spans_of_rows(off, SLICE) if (r := _runs(unit, data, off[i : j + 1], i, single)) is not None]
+    parts: list[Runs] = []
+    for i, j in spans_of_rows(off, SLICE):
+        if off[j] - off[i] > SLICE:
+            parts += _long(unit, data, int(off[i]), int(off[j]), i, single)
+        elif (r := _runs(unit, data, off[i : j + 1], i, single)) is not None:
+            parts.append(r)
     if not parts:
         return Runs(*[np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U, U, np.int64, np.int64)])
     return Runs(*[np.concatenate([getattr(p, n) for p in parts]) for n in Runs.__dataclass_fields__])

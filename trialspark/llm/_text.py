@@ -109,3 +109,23 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
         x = np.minimum(x[:-span], x[span:])
         span *= 2
     return np.minimum(x[:n], x[w - span : w - span + n])
+
+
+def pieces_of(data: np.ndarray, most: int, whole_words: bool = False) -> list[tuple[int, int]]:
+    """Ranges of at most ``most`` bytes, cut after a separator where there is one, else at a character (or, for whole words, later)."""
+    out, a, n = [], 0, len(data)
+    end = most
+    while end < n:
+        at = np.flatnonzero(SEPARATOR[data[a:end]])
+        if len(at):
+            b = a + int(at[-1]) + 1
+        elif whole_words:
+            end += most
+            continue
+        else:
+            b = end
+            while b > a + 1 and data[b] & 0xC0 == 0x80:
+                b -= 1
+        out.append((a, b))
+        a, end = b, b + most
+    return [*out, (a, n)]

@@ -125,6 +125,23 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return start, np.searchsorted(start, offsets)
 
 
+def safe_cuts(data: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of about ``most`` bytes, cut before a space between two ASCII letters: a piece starts there whatever came before."""
+    out, a, n = [], 0, len(data)
+    end = a + most
+    while end < n:
+        part = data[a:end]
+        letter = ((part | 0x20) >= ord("a")) & ((part | 0x20) <= ord("z"))
+        at = np.flatnonzero(letter[:-2] & (part[1:-1] == 0x20) & letter[2:])
+        if not len(at):
+            end += most
+            continue
+        b = a + int(at[-1]) + 1
+        out.append((a, b))
+        a, end = b, b + most
+    return [*out, (a, n)]
+
+
 class Tokenizer:
     """Encodes and decodes by a table of ranks (a file of base64 tokens and ranks)."""
 
@@ -256,7 +273,21 @@ class Tokenizer:
         return np.array([t for t in tok if t >= 0], "<u4").tobytes()
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], list[bytes]]:
-        """Packed ids of each row, and the packed ends (bytes from the row's start) of its pieces."""
+        """Packed ids of each row, and the packed ends (bytes from the row's start) of its pieces.
+
+        Rows longer than a slice are cut at safe places and put together again.
+        """
+        cuts = [[(int(a), int(b))] if b - a <= SLICE else [(int(a) + c, int(a) + d) for c, d in safe_cuts(data[a:b], SLICE)] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        if all(len(c) == 1 for c in cuts):
+            return self._encode(data, offsets)
+        ids, ends = [], []
+        for row in cuts:
+            got = [(a - row[0][0], *self._encode(data[a:b], np.array([0, b - a]))) for a, b in row]
+            ids.append(b"".join([i[0] for _, i, _ in got]))
+            ends.append(b"".join([(np.frombuffer(e[0], "<i4") + shift).astype("<i4").tobytes() for shift, _, e in got]))
+        return ids, ends
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], list[bytes]]:
         start, rows = pieces(data, offsets)
         text = data.tobytes()
         ends = np.append(start, len(data))[1:]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialspark.llm._session import tune, without
-from trialspark.llm._text import U, buffers, mix, spans_of_rows
+from trialspark.llm._text import U, buffers, mix, pieces_of, spans_of_rows
 
 BINS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -40,8 +40,11 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Bins of all n-grams of all rows, their rows, and whether each row has a letter.
 
     Letters are lower-cased, each run of other characters is one gap, a gap stands before and after each row, and no n-gram
-    spans two rows.  Rows come in order.
+    spans two rows.  Rows longer than a slice are read as pieces cut at separators.
     """
+    if len(offsets) == 2 and offsets[1] - offsets[0] > SLICE:
+        got = [grams(data[a:b], np.array([0, b - a])) for a, b in pieces_of(data, SLICE)]
+        return tuple(np.concatenate([g[k] for g in got]) for k in range(2)) + (np.array([any(g[2][0] for g in got)]),)
     rows = len(offsets) - 1
     text = data.tobytes().decode("utf-8", "surrogatepass") if _utf8(data) else None
     if text is None:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from trialspark.llm._session import tune, without
 from trialspark.llm._text import buffers, spans_of_rows
 
-SLICE = 4 << 20
+SLICE = 1 << 20
 RATE = 8000
 FRAME = 512
 LACED = 8
@@ -308,10 +308,14 @@ def features(media: DataFrame, media_col: str = "media") -> DataFrame:
             return (None,) * 6
         p = sorted(parse(x).packets, key=lambda p: (p[0], p[1], p[2]))
         payload = b"".join([x[a : a + n] for _, _, a, n, _, _ in p])
-        s = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
-        n = max(1, len(s))
-        crossings = int(((s[1:] >= 0) != (s[:-1] >= 0)).sum())
-        feature = f"{len(p)}:{len({q[5] for q in p})}:{p[-1][1] // 1_000_000 if p else 0}:{int(s.sum()) / n:.6f}:{(int((s * s).sum()) / n) ** 0.5:.6f}:{crossings}"
+        n, total, square, crossings, last = max(1, len(payload)), 0, 0, 0, None
+        for a in range(0, len(payload), SLICE):
+            s = np.frombuffer(payload, np.uint8, min(SLICE, len(payload) - a), a).astype(np.int64) - 128
+            up = s >= 0
+            total, square = total + int(s.sum()), square + int((s * s).sum())
+            crossings += int((up[1:] != up[:-1]).sum()) + int(last is not None and last != up[0])
+            last = up[-1]
+        feature = f"{len(p)}:{len({q[5] for q in p})}:{p[-1][1] // 1_000_000 if p else 0}:{total / n:.6f}:{(square / n) ** 0.5:.6f}:{crossings}"
         return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(x), hashlib.sha256(x).hexdigest(), feature
 
     return _map(media, media_col, outs, make)

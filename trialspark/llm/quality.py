@@ -52,7 +52,7 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     first, end, tok = words(data, off)
     row = np.repeat(np.arange(rows), np.diff(tok))
     letter = _LETTER[data]
-    upto = lambda mask: np.append(0, np.cumsum(mask))
+    upto = lambda mask: np.append(np.int32(0), np.cumsum(mask, dtype=np.int32))
     seen = upto(letter)
     pre = Prefix(BYTE_HASH[_LOWER[data[letter]]])
     a, b = seen[first], seen[end]

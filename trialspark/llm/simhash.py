@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialspark.llm._session import materialize, tune
-from trialspark.llm._text import U
+from trialspark.llm._text import U, pieces_of
 from trialspark.llm.components import components
 
 SEED = 42
+#: Bytes of a text that are read at once.
+PIECE = 1 << 20
 #: Fingerprints in a bucket of one agreeing segment beyond which its members are routed by a second one.
 DENSE = 4096
 FRONTIER = 1 << 20
@@ -25,22 +27,36 @@ _LANE = (np.arange(8) * 256).astype(np.int64)
 
 
 def fingerprint(text: bytes, k: int = 3) -> int:
-    """64 bits, each 1 if set in over half the hashes of the k-word shingles of the text with A-Z in lower case."""
-    words = text.lower().split()
-    if not words:
-        return 0
+    """64 bits, each 1 if set in over half the hashes of the k-word shingles of the text with A-Z in lower case.
+
+    Long texts are read in pieces that carry their last k - 1 words over.
+    """
+    if len(text) <= PIECE:
+        words = text.lower().split()
+        if len(words) <= k:
+            return xxhash.xxh64_intdigest(b" ".join(words), SEED) if words else 0
+        n, counts = _count(words, k)
+    else:
+        n, counts, carried = 0, np.zeros((8, 256), np.int64), []
+        for a, b in pieces_of(np.frombuffer(text, np.uint8), PIECE, True):
+            words = carried + text[a:b].lower().split()
+            carried = words[max(0, len(words) - k + 1) :]
+            if len(words) >= k:
+                m, c = _count(words, k)
+                n, counts = n + m, counts + c
+        if not n:
+            return xxhash.xxh64_intdigest(b" ".join(carried), SEED) if carried else 0
+    return int.from_bytes(np.packbits((counts @ _BITS).ravel() * 2 > n).tobytes(), "big")
+
+
+def _count(words: list[bytes], k: int) -> tuple[int, np.ndarray]:
+    """Number of shingles, and how often each byte of their digests has each value."""
     joined = b" ".join(words)
-    if len(words) <= k:
-        return xxhash.xxh64_intdigest(joined, SEED)
     ends = list(accumulate(map(len, words), lambda a, n: a + n + 1))
     digest = xxhash.xxh64_digest
     raw = b"".join([digest(joined[a:b], SEED) for a, b in zip([0, *[e + 1 for e in ends]], ends[k - 1 :], strict=False)])
-    n = len(words) - k + 1
-    counts = np.zeros((8, 256), np.int64)
-    for i in range(0, len(raw), 1 << 20):
-        part = np.frombuffer(raw, np.uint8, min(1 << 20, len(raw) - i), i).reshape(-1, 8)
-        counts += np.bincount((part + _LANE).ravel(), minlength=2048).reshape(8, 256)
-    return int.from_bytes(np.packbits((counts @ _BITS).ravel() * 2 > n).tobytes(), "big")
+    part = np.frombuffer(raw, np.uint8).reshape(-1, 8)
+    return len(words) - k + 1, np.bincount((part + _LANE).ravel(), minlength=2048).reshape(8, 256)
 
 
 def fingerprints(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
