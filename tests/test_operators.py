@@ -282,3 +282,14 @@ def test_saccades_and_maps(spark):
     rows = [("e", ch, i, float(v)) for ch in range(4) for i, v in enumerate(rng.normal(size=4000) * (0.001 if ch == 3 else 1))]
     bad = spatial.bad_channels(spark.createDataFrame(rows, "k string, ch int, i int, v double"), "k", "ch", "i", "v", 500.0, seconds=2.0, overlap=1.0, bandwidth=2.0)
     assert {r.ch for r in bad.collect() if r.bad} == {3}
+
+
+def test_buckets_change_nothing(spark):
+    r = random.Random(9)
+    left = spark.createDataFrame([(r.choice("ab"), i, r.randint(0, 500)) for i in range(150)], "k string, i int, t long")
+    right = spark.createDataFrame([(r.choice("abc"), r.randint(0, 500), i) for i in range(60)], "k string, m long, v int")
+    for direction in ("backward", "forward"):
+        a, b = (sorted(temporal.asof(left, right, "k", "t", "m", ["v"], direction, bucket=w).collect(), key=str) for w in (None, 40))
+        assert a == b
+    a, b = (sorted(temporal.nearest(left, right, "k", "t", "m", 6, ["v"], latency=3, bucket=w).collect(), key=str) for w in (None, 40))
+    assert a == b and any(x.match_time is not None for x in a) and any(x.match_time is None for x in a)

@@ -15,33 +15,53 @@ def _both(left: DataFrame, right: DataFrame, keys: list[str], left_t: str, right
     return a.unionByName(b)
 
 
-def asof(left: DataFrame, right: DataFrame, key, left_t: str, right_t: str, values: list[str], direction: str = "backward", prefix: str = "") -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, key, left_t: str, right_t: str, values: list[str], direction: str = "backward", prefix: str = "", bucket: float | None = None) -> DataFrame:
     """``left`` with the values of the last ``right`` row at or before its time (``forward``: the first at or after), null if none.
 
     One union, one sort within the key and a running last value: linear, where a range join would be quadratic.
     Ties of ``right`` times go to the largest values (``forward``: the least).
+
+    ``bucket``: for keys with more rows than a task should sort.  Times are cut into buckets of this width, each sorted by
+    itself; what the buckets before leave comes from a window over one row a bucket.
     """
     keys = _keys(key)
     carry = F.struct(F.col(right_t).alias("t"), *[F.col(v) for v in values])
     both = _both(left, right, keys, left_t, right_t, carry)
     late = F.col("__left").isNotNull().cast("int")
-    if direction == "backward":
-        order = [F.col("__t"), late, F.col("__r")]
+    back = direction == "backward"
+    order = [F.col("__t"), late, F.col("__r")] if back else [F.col("__t").desc(), late, F.col("__r").desc()]
+    if bucket is None:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        match = F.last("__r", ignorenulls=True).over(w)
     else:
-        order = [F.col("__t").desc(), late, F.col("__r").desc()]
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    got = both.withColumn("__m", F.last("__r", ignorenulls=True).over(w)).where("__left is not null")
+        both = both.withColumn("__b", F.floor(F.col("__t") / bucket))
+        each = both.groupBy(*keys, "__b").agg((F.max if back else F.min)("__r").alias("__e"))
+        over = Window.partitionBy(*keys).orderBy(F.col("__b") if back else F.col("__b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        each = each.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__b").alias("__kb"), F.last("__e", ignorenulls=True).over(over).alias("__in"))
+        on = F.col("__b") == F.col("__kb")
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+        both = both.join(each, on)
+        w = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        match = F.coalesce(F.last("__r", ignorenulls=True).over(w), F.col("__in"))
+    got = both.withColumn("__m", match).where("__left is not null")
     return got.select("__left.*", *[F.col(f"__m.{v}").alias(f"{prefix}{v}") for v in values], F.col("__m.t").alias(f"{prefix}match_time"))
 
 
-def nearest(left: DataFrame, right: DataFrame, key, left_t: str, right_t: str, radius, values: list[str] = (), latency=0, prefix: str = "") -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, key, left_t: str, right_t: str, radius, values: list[str] = (), latency=0, prefix: str = "", bucket: float | None = None) -> DataFrame:
     """``left`` with the nearest ``right`` time to its own plus ``latency``, within ``radius`` (included); ties to the earlier.
 
-    Two as-of passes over one union; no pair of rows is formed.
+    Two as-of passes over one union; no pair of rows is formed.  ``bucket``: as for ``asof``.
     """
     keys = _keys(key)
     values = list(values)
     shifted = left.withColumn("__at", F.col(left_t) + F.lit(latency))
+    if bucket is not None:
+        got = asof(asof(shifted, right, keys, "__at", right_t, values, "backward", "__p_", bucket), right, keys, "__at", right_t, values, "forward", "__n_", bucket)
+        a, b = F.col("__at") - F.col("__p_match_time"), F.col("__n_match_time") - F.col("__at")
+        first = b.isNull() | (a <= b)
+        pick = lambda v: F.when(F.coalesce(first, F.lit(False)) & (a <= F.lit(radius)), F.col(f"__p_{v}")).when(~F.coalesce(first & a.isNotNull(), F.lit(False)) & (b <= F.lit(radius)), F.col(f"__n_{v}"))
+        return got.select(*left.columns, pick("match_time").alias(f"{prefix}match_time"), *[pick(v).alias(f"{prefix}{v}") for v in values])
     carry = F.struct(F.col(right_t).alias("t"), *[F.col(v) for v in values])
     both = _both(shifted, right, keys, "__at", right_t, carry)
     late = F.col("__left").isNotNull().cast("int")

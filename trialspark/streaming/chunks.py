@@ -43,6 +43,29 @@ def discontinuities(samples: DataFrame, threshold: float | None = None, multipli
     return reachable(samples).select("channel", "t", "value").groupBy("channel").applyInPandasWithState(work, "channel long, t double, value double, jump double", "last_t double, last_v double, thr double", "append", GroupStateTimeout.NoTimeout)
 
 
+def crossings(samples: DataFrame, threshold: float, above: bool = True, refractory: float = 0.0) -> DataFrame:
+    """``(channel, t, value)`` of samples beyond a threshold after one that wasn't, at least ``refractory`` after the last kept.
+
+    The state of a channel is whether its last sample was beyond and when the last crossing was kept, so chunks of any size
+    give the same crossings.  A channel's first sample is none.
+    """
+
+    def work(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        was, last = state.get if state.exists else (True, float("-inf"))
+        pdf = pd.concat(list(frames)).sort_values("t")
+        t, v = pdf["t"].to_numpy(float), pdf["value"].to_numpy(float)
+        beyond = v > threshold if above else v < threshold
+        kept = []
+        for i in np.flatnonzero(beyond & ~np.append(was, beyond[:-1])):
+            if t[i] - last > refractory:
+                kept.append(i)
+                last = t[i]
+        state.update((bool(beyond[-1]), float(last)))
+        yield pd.DataFrame({"channel": key[0], "t": t[kept], "value": v[kept]})
+
+    return reachable(samples).select("channel", "t", "value").groupBy("channel").applyInPandasWithState(work, "channel long, t double, value double", "was boolean, last double", "append", GroupStateTimeout.NoTimeout)
+
+
 def unique_discontinuities(hits: DataFrame, key: str, gap: float) -> DataFrame:
     """``(key, t, channels)``: hits of any channel no more than a gap apart are one, at its first time."""
     w = Window.partitionBy(key).orderBy("t")
