@@ -133,9 +133,9 @@ def test_links_against_all_pairs(spark, dense):
                 a, b = find(i), find(j)
                 par[max(a, b)] = min(a, b)
     df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
-    edges = simhash.links(df, dense=dense)
+    edges = simhash.links(df.select(F.lit(2).alias("kind"), "fp"), dense=dense)
     assert all((( r.u ^ r.v) & (2**64 - 1)) for r in edges.collect())
-    root = {r.u: r.root for r in components.components(edges).collect()}
+    root = {r.u: r.root for r in components.components(edges.select("u", "v")).collect()}
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     groups = {}
     for i, x in enumerate(signed):
@@ -194,3 +194,24 @@ def test_long_texts_have_the_same_fingerprint(monkeypatch):
     whole = [simhash.fingerprint(t.encode()) for t in texts]
     monkeypatch.setattr(simhash, "PIECE", 40)
     assert [simhash.fingerprint(t.encode()) for t in texts] == whole == [plain_fingerprint(t) for t in texts]
+
+
+def test_near_copies_of_several_fingerprints(spark):
+    r = random.Random(11)
+    rows = []
+    for i in range(40):
+        words = [f"w{r.randint(0, 5000)}" for _ in range(300)]
+        rows.append((10 * i, " ".join(words)))
+        for at in r.sample(range(300), 5):  # about 0.85 of the five-word shingles stay
+            words[at] = f"new{r.randint(0, 10**6)}"
+        rows.append((10 * i + 1, " ".join(words)))
+    rows += [(1000, rows[0][1]), (1001, None), (1002, ""), (None, rows[0][1]), (1003, "one two"), (1003, "three four five six"), (1004, "ONE two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = {x.doc_id: x.keeper for x in simhash.near_copies(docs).collect()}
+    assert gone[1000] == 0 and gone[1002] == 1001 and gone[1004] == 1003
+    assert all(a // 10 == b // 10 for a, b in gone.items() if a < 1000)
+    assert sum(10 * i + 1 in gone for i in range(40)) >= 36
+    kept = [x.doc_id for x in simhash.simhash_dedup(docs).collect()]
+    assert kept.count(None) == 1 and kept.count(1003) == 2 and len(kept) == len(rows) - len(gone)
+    assert simhash.several_fingerprints(b"a b c d", 3, 4)[0] == simhash.fingerprint(b"a b c d")
+    assert len(set(simhash.several_fingerprints(b"a b c d e f", 3, 4))) == 4
