@@ -18,7 +18,8 @@ recognised by a 64-bit hash, their length and the 32-bit key.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import inspect
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,11 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialspark.llm._session import tune, units, without
+from trialspark.llm._session import trim, tune, units, without
 from trialspark.llm._text import BYTE_HASH, Prefix, U, buffers, mix, sliding_min, spans_of_rows, words
 
 #: Stored input bytes of a group. Byte windows need more work space than word windows.
-GROUP_BYTES = {"word": 4 << 20, "byte": 5 << 19}
+GROUP_BYTES = {"word": 3 << 20, "byte": 5 << 19}
 SLICE = 1 << 19
 HOT = 4096
 #: Beyond so many partitions (or the session's own number) a partition has more groups, one after another.
@@ -338,6 +339,18 @@ def _region(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _trimmed(f):
+    """``f`` of a group or block, after which the worker gives its memory back."""
+
+    def run(*tables: pa.Table) -> pa.Table:
+        out = f(*tables)
+        trim()
+        return out
+
+    run.__signature__ = inspect.signature(f)
+    return run
+
+
 def remove_repeats(docs: DataFrame, unit: Unit, kernel: Kernel, keep: Callable[[bytes, list[tuple[int, int]]], tuple], outputs: list[tuple[str, str, pa.DataType]], id_col: str, text_col: str, hot: int = HOT) -> DataFrame:
     """``docs`` with ``outputs`` (name, SQL type, Arrow type) that ``keep`` makes of each row's bytes and its repeated spans in units."""
     tune(docs.sparkSession)
@@ -346,10 +359,10 @@ def remove_repeats(docs: DataFrame, unit: Unit, kernel: Kernel, keep: Callable[[
     spark = docs.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-groups // 8), MOST_PARTITIONS))
     dealt = docs.withColumns({G: F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.lit(17)), F.lit(groups)).cast("int"), TEXT: F.col(f"`{text_col}`").cast("binary")}).withColumn(id_col, F.col(f"`{id_col}`").cast("long")).drop(text_col).repartition(n, G)
-    keys = dealt.groupBy(G).applyInArrow(_send_keys(unit, id_col, groups), "b int, g int, keys binary")
-    answers = keys.groupBy("b").applyInArrow(_answer(hot), "g int, b int, bits binary")
-    passages = dealt.groupBy(G).cogroup(answers.groupBy("g")).applyInArrow(_send_passages(unit, id_col, groups), PASSAGES)
-    spans = passages.groupBy("b").applyInArrow(_solve(unit, kernel), "g int, spans binary")
+    keys = dealt.groupBy(G).applyInArrow(_trimmed(_send_keys(unit, id_col, groups)), "b int, g int, keys binary")
+    answers = keys.groupBy("b").applyInArrow(_trimmed(_answer(hot)), "g int, b int, bits binary")
+    passages = dealt.groupBy(G).cogroup(answers.groupBy("g")).applyInArrow(_trimmed(_send_passages(unit, id_col, groups)), PASSAGES)
+    spans = passages.groupBy("b").applyInArrow(_trimmed(_solve(unit, kernel)), "g int, spans binary")
     plain = [f for f in dealt.schema.fields if f.name not in (G, TEXT)]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in plain] + [f"`{n}` {t}" for n, t, _ in outputs])
 
@@ -367,4 +380,4 @@ def remove_repeats(docs: DataFrame, unit: Unit, kernel: Kernel, keep: Callable[[
         made = [keep(text[a:b], by.get(i, [])) for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True))]
         return pa.Table.from_arrays([table[f.name] for f in plain] + [pa.array(x, t) for x, (_, _, t) in zip(zip(*made, strict=True), outputs, strict=True)], [f.name for f in plain] + [n for n, _, _ in outputs])
 
-    return dealt.groupBy(G).cogroup(spans.groupBy("g")).applyInArrow(finish, schema)
+    return dealt.groupBy(G).cogroup(spans.groupBy("g")).applyInArrow(_trimmed(finish), schema)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import math
 import os
 import tempfile
 import uuid
+from functools import cache
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,21 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.pyspark.udf.killOnIdleTimeout", "true")
 
 
+@cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library
+        return None
+
+
+def trim() -> None:
+    """Give freed memory back to the system, so that idle Python workers of an executor stay small."""
+    pa.default_memory_pool().release_unused()
+    if (c := _libc()) is not None and hasattr(c, "malloc_trim"):
+        c.malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests) a folder made here."""
     path = spark.conf.get("spark.checkpoint.dir", None)

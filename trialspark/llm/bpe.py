@@ -12,11 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialspark.llm._session import tune, without
+from trialspark.llm._session import trim, tune, without
 from trialspark.llm._text import buffers, spans_of_rows
 
 SLICE = 1 << 20
-CACHE = 300_000
+CACHE = 150_000
 WIDTHS = (8, 16, 32, 64)
 NONE = np.int32(2**31 - 1)
 
@@ -346,6 +346,7 @@ def _run(docs: DataFrame, column: str, names: list[str], make) -> DataFrame:
 
     def work(batches):
         for batch in batches:
+            trim()
             for i, j in spans_of_rows(buffers(batch.column(column))[1], SLICE):
                 part = batch.slice(i, j - i)
                 made = make(part.column(column))

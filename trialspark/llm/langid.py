@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm._session import tune, without
+from trialspark.llm._session import trim, tune, without
 from trialspark.llm._text import U, buffers, mix, pieces_of, spans_of_rows
 
 BINS = 1 << 15
@@ -124,6 +124,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoot
         sums: dict[str, np.ndarray] = {}
         seen: dict[str, int] = {}
         for batch in batches:
+            trim()
             for i, j in spans_of_rows(buffers(batch.column(0))[1], SLICE):
                 part = batch.slice(i, j - i)
                 data, off = buffers(part.column(0))
@@ -178,6 +179,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def work(batches):
         for batch in batches:
+            trim()
             for i, j in spans_of_rows(buffers(batch.column(text_col))[1], SLICE):
                 part = batch.slice(i, j - i)
                 data, off = buffers(part.column(text_col))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialspark.llm._session import materialize, tune, without
+from trialspark.llm._session import materialize, trim, tune, without
 from trialspark.llm._text import BYTE_HASH, Prefix, U, buffers, mix, spans_of_rows, words
 
 SLICE = 1 << 19
@@ -141,6 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, good: str = "quality = 1 and toxic =
 
     def make(batches):
         for batch in batches:
+            trim()
             for i, j in spans_of_rows(buffers(batch.column("t"))[1], SLICE):
                 part = batch.slice(i, j - i)
                 data, off = buffers(part.column("t"))
@@ -203,6 +204,7 @@ def evidence(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     def work(batches):
         for batch in batches:
+            trim()
             for i, j in spans_of_rows(buffers(batch.column(text_col))[1], SLICE):
                 part = batch.slice(i, j - i)
                 data, off = buffers(part.column(text_col))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialspark.llm._session import materialize, tune
+from trialspark.llm._session import materialize, trim, tune
 from trialspark.llm._text import U, mix, pieces_of
 from trialspark.llm.components import components
 
@@ -74,6 +74,7 @@ def fingerprints(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col:
 
     def make(batches):
         for b in batches:
+            trim()
             fps = np.array([several_fingerprints(x.as_buffer().to_pybytes(), k, prints) if x.is_valid else [0] * prints for x in b.column(1)], np.uint64).reshape(-1, prints).view(np.int64)
             off = pa.array(np.arange(len(fps) + 1, dtype=np.int32) * (prints - 1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.ascontiguousarray(fps[:, 0])), pa.ListArray.from_arrays(off, pa.array(fps[:, 1:].ravel()))], ["doc_id", "fp", "others"])
