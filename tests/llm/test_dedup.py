@@ -215,3 +215,30 @@ def test_near_copies_of_several_fingerprints(spark):
     assert kept.count(None) == 1 and kept.count(1003) == 2 and len(kept) == len(rows) - len(gone)
     assert simhash.several_fingerprints(b"a b c d", 3, 4)[0] == simhash.fingerprint(b"a b c d")
     assert len(set(simhash.several_fingerprints(b"a b c d e f", 3, 4))) == 4
+
+
+def test_near_copies_are_what_shares_their_shingles(spark):
+    r = random.Random(12)
+    rows, shingles = [], {}
+    for i in range(60):  # changes here and there, or one replaced run, to both sides of 0.8
+        words = [f"w{r.randint(0, 5000)}" for _ in range(300)]
+        rows.append((10 * i, " ".join(words)))
+        for j in range(1, 4):
+            copy, n = list(words), r.randint(1, 50)
+            for at in r.sample(range(300), max(1, n // 5)) if j == 1 else range(100, 100 + n):
+                copy[at] = f"new{r.randint(0, 10**6)}"
+            rows.append((10 * i + j, " ".join(copy)))
+    rows += [(2000 + i, " ".join(f"same{j}" for j in range(250)) + f" a{i} b{i}") for i in range(40)]
+    for d, t in rows:
+        w = t.split()
+        shingles[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    root = {d: d for d in shingles}
+    for a in sorted(shingles):
+        for b in shingles:
+            both = len(shingles[a] & shingles[b])
+            if a < b and 5 * both >= 4 * (len(shingles[a]) + len(shingles[b]) - both) and root[a] != root[b]:
+                x, y = sorted((root[a], root[b]))
+                root = {d: x if c == y else c for d, c in root.items()}
+    got = {x.doc_id: x.keeper for x in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: c for d, c in root.items() if d != c}
+    assert any(d not in got for d in root if d % 10) and len(got) > 60
