@@ -119,6 +119,11 @@ def erp_baseline(spark, sf):
     return rounded(stats.baseline(d, "vec_id", "k", "v", 0, 16).select("vec_id", F.col("k").cast("long").alias("k"), "value"), "value")
 
 
+@query(f"""WITH {D_SQL}, b AS (SELECT vec_id, avg(v) AS b FROM d WHERE k < 16 GROUP BY 1) SELECT d.vec_id, d.k, round(v - b, 6) AS value FROM d JOIN b ON d.vec_id = b.vec_id""")
+def erp_baseline_all(spark, sf):
+    return rounded(stats.baseline(dims(spark, sf), "vec_id", "k", "v", 0, 16).select("vec_id", F.col("k").cast("long").alias("k"), "value"), "value")
+
+
 @query(f"""WITH {D_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(v) DESC, k) AS n FROM d WHERE k >= 16 AND k < 48) SELECT vec_id, round(v, 6) AS peak, k AS at FROM r WHERE n = 1""")
 def max_erp(spark, sf):
     m = stats.max_erp(dims(spark, sf), "vec_id", "k", "v", 16, 48)
