@@ -8,3 +8,13 @@ SF = "/root/testdata/sf0.001"
 def test_erp_baseline_of_all_vectors(spark):
     got = {r.vec_id for r in entry.queries()["erp_baseline_all"](spark, SF).select("vec_id").distinct().collect()}
     assert got == {r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+
+
+def test_accllr_and_correlations_of_all_labels(spark):
+    q, e = entry.queries(), spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    for name in ("accllr_cumulative_all", "accllr_levels_all"):
+        assert {r.vec_id for r in q[name](spark, SF).collect()} == {r.vec_id for r in e}
+    alt = {r.vec_id for r in e if r.label < 5}
+    assert {r.vec_id for r in q["accllr_latency_all"](spark, SF).collect()} <= alt
+    n = len({r.label for r in e})
+    assert sum(r.n for r in q["correlation_over_distance_all"](spark, SF).collect()) == n * (n - 1) // 2

@@ -269,6 +269,27 @@ def accllr_levels(spark, sf):
     return got.select("vec_id", "level", "side", F.col("at").cast("long").alias("at"))
 
 
+#: The same over all labels.
+ACC_ALL = ACC.replace(" WHERE label IN (0, 1, 5, 6)", "")
+
+
+def _acc_all(spark, sf):
+    x = dims(spark, sf).withColumns({"alt": F.col("label") < 5, "channel": F.lit(1)})
+    return latency.accllr(x, "channel", "vec_id", "k", "v", "alt")
+
+
+@query(f"{ACC_ALL} SELECT vec_id, k, alt, round(accllr, 5) AS accllr FROM acc")
+def accllr_cumulative_all(spark, sf):
+    return _acc_all(spark, sf).select("vec_id", F.col("k").cast("long").alias("k"), "alt", F.round("accllr", 5).alias("accllr"))
+
+
+@query(f"""{ACC_ALL}, h AS (SELECT vec_id, alt, level, min(CASE WHEN accllr >= level THEN k END) AS u, min(CASE WHEN accllr <= -level THEN k END) AS d FROM acc, (SELECT unnest([0.5, 1.0, 2.0, 4.0])::DOUBLE AS level) GROUP BY ALL)
+SELECT vec_id, level, CASE WHEN u IS NOT NULL AND (d IS NULL OR u < d) THEN 1 WHEN d IS NOT NULL AND (u IS NULL OR d < u) THEN -1 ELSE 0 END AS side, CASE WHEN u IS NOT NULL AND (d IS NULL OR u < d) THEN u WHEN d IS NOT NULL AND (u IS NULL OR d < u) THEN d END AS at FROM h""")
+def accllr_levels_all(spark, sf):
+    got = latency.detect(_acc_all(spark, sf), "channel", "vec_id", "k", "accllr", [0.5, 1.0, 2.0, 4.0])
+    return got.select("vec_id", "level", "side", F.col("at").cast("long").alias("at"))
+
+
 @query(f"""WITH {D_SQL}, b AS (SELECT k, avg(v) AS m, stddev_pop(v) AS s FROM d WHERE label = 0 GROUP BY 1), z AS (SELECT vec_id, d.k, abs(v - m) > 2.0 * s AS o FROM d JOIN b ON d.k = b.k WHERE label = 1) SELECT vec_id, min(CASE WHEN o THEN k END) AS first FROM z GROUP BY 1""")
 def erp_response(spark, sf):
     d = dims(spark, sf)
