@@ -18,3 +18,11 @@ def test_accllr_and_correlations_of_all_labels(spark):
     assert {r.vec_id for r in q["accllr_latency_all"](spark, SF).collect()} <= alt
     n = len({r.label for r in e})
     assert sum(r.n for r in q["correlation_over_distance_all"](spark, SF).collect()) == n * (n - 1) // 2
+
+
+def test_tfr_mean_of_all_vectors(spark):
+    want = {}
+    for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect():
+        want.setdefault(r.label, []).extend(r.embedding[8:24])
+    got = {r.label: r.power for r in entry.queries()["tfr_mean_all"](spark, SF).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - sum(v) / len(v)) < 1e-6 for k, v in want.items())

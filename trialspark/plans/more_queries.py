@@ -158,6 +158,12 @@ def tfr_mean(spark, sf):
     return signal.tfr_mean(d, "label", (8, 24), (10, 400)).withColumn("power", F.round("power", 7))
 
 
+@query(f"""WITH {D_SQL} SELECT label, round(avg(v), 7) AS power FROM d WHERE k >= 8 AND k < 24 GROUP BY 1""")
+def tfr_mean_all(spark, sf):
+    d = dims(spark, sf).select("label", F.col("k").cast("double").alias("f"), F.col("vec_id").cast("double").alias("t"), F.col("v").alias("power"))
+    return signal.tfr_mean(d, "label", (8, 24), (float("-inf"), float("inf"))).withColumn("power", F.round("power", 7))
+
+
 @query(f"""WITH {P_SQL}, i AS (SELECT label, min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS d FROM p GROUP BY 1) SELECT label, round(greatest(0.0, least(b, d) - greatest(a, c)) / least(b - a, d - c), 6) AS overlap FROM i""")
 def interval_overlap(spark, sf):
     i = pairs(spark, sf).groupBy("label").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d"))
