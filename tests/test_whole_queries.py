@@ -26,3 +26,12 @@ def test_tfr_mean_of_all_vectors(spark):
         want.setdefault(r.label, []).extend(r.embedding[8:24])
     got = {r.label: r.power for r in entry.queries()["tfr_mean_all"](spark, SF).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - sum(v) / len(v)) < 1e-6 for k, v in want.items())
+
+
+def test_vector_geometry_of_whole_vectors(spark):
+    e = {r.vec_id: r.embedding for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    got = {r.vec_id: r.distance for r in entry.queries()["vector_geometry_halves"](spark, SF).collect()}
+    assert got.keys() == e.keys()
+    for i, v in e.items():
+        h = len(v) // 2
+        assert abs(got[i] - sum((float(x) - float(y)) ** 2 for x, y in zip(v[:h], v[h:], strict=True)) ** 0.5) < 2e-6

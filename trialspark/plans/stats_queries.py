@@ -240,6 +240,14 @@ def vector_geometry(spark, sf):
     return e.select("vec_id", F.round(geo.angle_between("a", "b"), 6).alias("angle"), F.round(geo.distance("a", "b"), 6).alias("distance"), F.round(geo.radial_distance("a"), 6).alias("radius"))
 
 
+@query("""WITH a AS (SELECT vec_id, embedding[1:len(embedding) // 2] AS a, embedding[len(embedding) // 2 + 1:] AS b FROM embeddings), c AS (SELECT vec_id, list_transform(a, lambda x: CAST(x AS DOUBLE)) AS a, list_transform(b, lambda x: CAST(x AS DOUBLE)) AS b FROM a)
+SELECT vec_id, round(acos(greatest(-1.0, least(1.0, list_inner_product(a, b) / sqrt(list_inner_product(a, a)) / sqrt(list_inner_product(b, b))))), 6) AS angle, round(sqrt(list_sum(list_transform(list_zip(a, b), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) AS distance, round(sqrt(list_inner_product(a, a)), 6) AS radius FROM c""")
+def vector_geometry_halves(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    e = e.select("vec_id", F.expr("slice(e, 1, size(e) div 2)").alias("a"), F.expr("slice(e, size(e) div 2 + 1, size(e))").alias("b"))
+    return e.select("vec_id", F.round(geo.angle_between("a", "b"), 6).alias("angle"), F.round(geo.distance("a", "b"), 6).alias("distance"), F.round(geo.radial_distance("a"), 6).alias("radius"))
+
+
 @query("""SELECT c_custkey, round(c_acctbal / (1 + exp(-100.0 * (0.08 - (c_custkey % 20) / 100.0))), 4) AS scaled, CAST(CASE WHEN c_custkey = 0 THEN 1 ELSE ceil(log2(c_custkey)) END AS INTEGER) AS p2 FROM customer""")
 def scalar_expressions(spark, sf):
     c = table(spark, sf, "customer")
