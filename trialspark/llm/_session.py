@@ -16,22 +16,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ARROW_ROWS = 2000
-IDLE_S = 60
 
 
 def tune(spark: SparkSession) -> None:
     """Arrow batches small enough that a batch of long texts fits beside the JVM heap.
 
-    A Python worker and its task can come to wait for each other for good (seen once in some hundred tasks); a worker
-    that neither takes nor gives anything for a minute is ended and its task tried again.  Workers find this package where
-    the driver found it, if they have no other copy.
+    Workers find this package where the driver found it, if they have no other copy.
     """
     root, env = str(Path(__file__).parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    spark.conf.set("spark.sql.execution.pyspark.udf.idleTimeoutSeconds", IDLE_S)
-    spark.conf.set("spark.sql.execution.pyspark.udf.killOnIdleTimeout", "true")
 
 
 @cache
