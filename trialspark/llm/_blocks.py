@@ -4,16 +4,19 @@ A window of W units (words or bytes) has one anchor: the least hash among its k-
 anchors, so every repeat of a window meets in the block its anchor hashes to, and no other block can hold it.
 
 1. Documents are dealt once into groups by a hash of their id (this exchange is reused by the later passes).
-2. Each group sends every block the sorted 32-bit keys of its anchors; the block answers with two bits a key: held by
-   another group, and held by more than HOT groups.
-3. Each group sends the passages around anchors that occur in two documents.  A passage whose text a smaller document of
-   the same group has at that anchor is settled there.  For anchors held by more than HOT groups each window is a passage
-   of its own, routed by its own hash, so that no block grows with a hot anchor.
-4. A block collapses equal passages, and its kernel finds which windows of the distinct ones stand in smaller documents.
-5. Spans return to the groups and meet the texts.
-
-A false match of keys costs a comparison and never a result: kernels compare the units themselves.  Equal passages are
-recognised by a 64-bit hash, their length and the 32-bit key.
+2. Each group sends every block the sorted 32-bit keys of its anchors, and how much it has at those with more than one
+   passage; the block answers with two bits a key: held by another group, and hot (over HOT KB of distinct passages).
+3. At a hot anchor each window is a passage of its own, routed by its own hash, so that no block grows with the anchor.
+   Groups first send the keys of these windows alone, and the blocks answer which of them another group holds.
+4. Each group sends the passages (or windows) that may occur in two documents.  One whose bytes a smaller document of
+   the same group has at that anchor is settled there.
+5. A block collapses passages of equal bytes, and its kernel finds which windows of the distinct ones stand in smaller
+   documents.
+6. Spans return to the groups and meet the texts.
+
+Hashes only say what is to be compared.  A false match costs a comparison and never a result: passages count as equal
+once their bytes (of words: the words) are, and kernels compare the units themselves.  Rows without an id take no part
+and are never exchanged.
 """
 
 from __future__ import annotations
@@ -35,10 +38,13 @@ from trialspark.llm._text import BYTE_HASH, Prefix, U, buffers, mix, sliding_min
 #: Stored input bytes of a group. Byte windows need more work space than word windows.
 GROUP_BYTES = {"word": 3 << 20, "byte": 5 << 19}
 SLICE = 1 << 19
+#: KB of distinct passages at an anchor beyond which its windows are routed one by one.
 HOT = 4096
 #: Beyond so many partitions (or the session's own number) a partition has more groups, one after another.
 MOST_PARTITIONS = 20_000
 G, TEXT = "__g", "__text"
+KEYS = "b int, g int, keys binary, more binary"
+ANSWERS = "g int, b int, bits binary, hot boolean"
 PASSAGES = "b int, g int, keys binary, docs binary, rows binary, starts binary, wins binary, sizes binary, data binary, spans binary"
 
 
@@ -63,6 +69,11 @@ class Runs:
     #: Where the run's units lie in the group's bytes.
     first: np.ndarray
     end: np.ndarray
+    #: A window of a hot anchor, with its own hash as key.
+    lone: np.ndarray
+
+    def pick(self, which: np.ndarray) -> Runs:
+        return Runs(*[getattr(self, n)[which] for n in Runs.__dataclass_fields__])
 
 
 def _runs(unit: Unit, data: np.ndarray, off: np.ndarray, base: int, single: np.ndarray | None = None, before: int = 0) -> Runs | None:
@@ -94,6 +105,7 @@ def _runs(unit: Unit, data: np.ndarray, off: np.ndarray, base: int, single: np.n
     at, wins = np.flatnonzero(begin), np.flatnonzero(stop)
     wins = wins - at + 1
     key = mix(low[at] ^ U(0xA0761D6478BD642F))
+    lone = np.zeros(len(at), bool)
     if single is not None and len(single):
         hot = np.isin(key, single)
         if hot.any():
@@ -101,8 +113,9 @@ def _runs(unit: Unit, data: np.ndarray, off: np.ndarray, base: int, single: np.n
             at = np.concatenate([at[~hot], more])
             wins = np.concatenate([wins[~hot], np.ones(len(more), wins.dtype)])
             key = np.concatenate([key[~hot], mix(pre.of(more, more + unit.window) ^ U(0xE7037ED1A0B428DB))])
+            lone = np.arange(len(at)) >= len(at) - len(more)
     last = at + wins + unit.window - 1
-    return Runs(row[at] + base, at - tok[row[at]] + before, wins, key, pre.of(at, last), first[at] + lo, end[last - 1] + lo)
+    return Runs(row[at] + base, at - tok[row[at]] + before, wins, key, pre.of(at, last), first[at] + lo, end[last - 1] + lo, lone)
 
 
 def _within(lengths: np.ndarray) -> np.ndarray:
@@ -142,7 +155,7 @@ def _group(unit: Unit, data: np.ndarray, off: np.ndarray, single: np.ndarray | N
         elif (r := _runs(unit, data, off[i : j + 1], i, single)) is not None:
             parts.append(r)
     if not parts:
-        return Runs(*[np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U, U, np.int64, np.int64)])
+        return Runs(*[np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U, U, np.int64, np.int64, bool)])
     return Runs(*[np.concatenate([getattr(p, n) for p in parts]) for n in Runs.__dataclass_fields__])
 
 
@@ -153,34 +166,40 @@ def _short(key: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rows(table: pa.Table, id_col: str) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
-    """The group's rows in an order that every pass repeats, with ids (the largest long for null) and texts' bytes."""
+    """The group's rows in an order that every pass repeats, with their ids and the bytes of their texts."""
     hashes = [xxhash.xxh64_intdigest(x.as_buffer()) if x.is_valid else 0 for x in table[TEXT].cast(pa.large_binary())]
     order = pc.sort_indices(pa.table({"i": table[id_col], "h": pa.array(hashes, pa.uint64())}), [("i", "ascending"), ("h", "ascending")])
     table = table.take(order)
-    ids = table[id_col].fill_null(np.iinfo(np.int64).max).to_numpy().astype(np.int64)
     data, off = buffers(table[TEXT].cast(pa.large_binary()))
-    return table, ids, data, off
+    return table, table[id_col].to_numpy().astype(np.int64), data, off
 
 
-def _blank_null_ids(table: pa.Table, id_col: str, off: np.ndarray) -> np.ndarray:
-    """Rows without an id take no part: they are given no bytes."""
-    null = table[id_col].is_null().to_numpy()
-    if null.any():  # nulls sort last, so the rows before keep their offsets
-        off = off.copy()
-        off[int(np.flatnonzero(null)[0]) :] = off[int(np.flatnonzero(null)[0])]
-    return off
+def _messages(code: np.ndarray, g: int, weight: np.ndarray | None = None) -> pa.Table:
+    """A row for each block of the ascending distinct ``code``: its keys, and (place, weight) of those that weigh over 1."""
+    out = []
+    for part in np.split(np.arange(len(code)), np.flatnonzero(np.diff(code >> 32)) + 1):
+        if len(part):
+            w = weight[part] if weight is not None else np.ones(len(part), np.int64)
+            heavy = np.flatnonzero(w > 1)
+            more = np.stack([heavy, np.minimum(w[heavy], 1 << 30)], 1).astype("<u4").tobytes()
+            out.append((int(code[part[0]] >> 32), g, (code[part] & 0xFFFFFFFF).astype("<u4").tobytes(), more))
+    columns = zip(*out, strict=True) if out else ([], [], [], [])
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    return pa.table({f.split()[0]: pa.array(x, t) for f, x, t in zip(KEYS.split(", "), columns, kinds, strict=True)})
 
 
 def _send_keys(unit: Unit, id_col: str, blocks: int) -> Callable[[pa.Table], pa.Table]:
     def send(table: pa.Table) -> pa.Table:
         g = table[G][0].as_py()
-        table, _, data, off = _rows(table, id_col)
-        runs = _group(unit, data, _blank_null_ids(table, id_col, off))
+        _, _, data, off = _rows(table, id_col)
+        runs = _group(unit, data, off)
         _, code = _short(runs.key, blocks)
-        code = np.unique(code)
-        cut = np.flatnonzero(np.diff(code >> 32, prepend=-1))
-        out = [(int(part[0] >> 32), g, (part & 0xFFFFFFFF).astype("<u4").tobytes()) for part in np.split(code, cut[1:]) if len(part)]
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else ([], [], []), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["b", "g", "keys"])
+        order = np.lexsort((runs.wins, runs.region, code))
+        c, r, w = code[order], runs.region[order], runs.wins[order]
+        distinct = order[np.append(True, (c[1:] != c[:-1]) | (r[1:] != r[:-1]) | (w[1:] != w[:-1]))] if len(order) else order
+        keys, inverse = np.unique(code[distinct], return_inverse=True)
+        weight = np.bincount(inverse, 1 + (runs.end - runs.first)[distinct] // 1024, len(keys)).astype(np.int64)
+        return _messages(keys, g, weight)
 
     return send
 
@@ -189,22 +208,70 @@ def _answer(hot: int) -> Callable[[pa.Table], pa.Table]:
     def answer(table: pa.Table) -> pa.Table:
         lists = [np.frombuffer(x, "<u4") for x in table["keys"].to_pylist()]
         keys = np.concatenate(lists)
+        weight = np.ones(len(keys), np.int64)
+        n = 0
+        for x, more in zip(lists, table["more"].to_pylist(), strict=True):
+            at, w = np.frombuffer(more, "<u4").reshape(-1, 2).astype(np.int64).T
+            weight[n + at] = w
+            n += len(x)
         order = np.argsort(keys, kind="stable")
         fresh = np.diff(keys[order].astype(np.int64), prepend=-1) != 0
-        count = np.empty(len(keys), np.int64)
-        count[order] = np.diff(np.append(np.flatnonzero(fresh), len(keys)))[np.cumsum(fresh) - 1]
-        g, bits, n = [], [], 0
-        for gi, x in zip(table["g"].to_pylist(), lists, strict=True):
-            c = count[n : n + len(x)]
+        at = np.flatnonzero(fresh)
+        of = np.cumsum(fresh) - 1
+        shared, heavy = np.empty(len(keys), bool), np.empty(len(keys), bool)
+        shared[order] = (np.diff(np.append(at, len(keys))) > 1)[of]
+        heavy[order] = (np.add.reduceat(weight[order], at) > hot)[of]
+        heavy &= shared
+        out, n = [], 0
+        for g, x in zip(table["g"].to_pylist(), lists, strict=True):
+            one, two = shared[n : n + len(x)], heavy[n : n + len(x)]
             n += len(x)
-            if (c > 1).any():
-                g.append(gi)
-                bits.append(np.packbits(np.concatenate([c > 1, c > hot])).tobytes())
-        return pa.table({"g": pa.array(g, pa.int32()), "b": pa.array([table["b"][0].as_py()] * len(g), pa.int32()), "bits": pa.array(bits, pa.binary())})
+            if one.any():
+                out.append((g, table["b"][0].as_py(), np.packbits(np.concatenate([one, two])).tobytes(), bool(two.any())))
+        columns = zip(*out, strict=True) if out else ([], [], [], [])
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.bool_())
+        return pa.table({f.split()[0]: pa.array(x, t) for f, x, t in zip(ANSWERS.split(", "), columns, kinds, strict=True)})
 
     return answer
 
 
+def _told(known: np.ndarray, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Of the ascending codes ``known``: which the answers say another group holds, and which are hot."""
+    shared, hot, top = np.zeros(len(known), bool), np.zeros(len(known), bool), known >> 32
+    for b, bits in zip(answers["b"].to_pylist(), answers["bits"].to_pylist(), strict=True):
+        i, j = np.searchsorted(top, (b, b + 1))
+        flag = np.unpackbits(np.frombuffer(bits, np.uint8), count=2 * (j - i)).astype(bool)
+        shared[i:j], hot[i:j] = flag[: j - i], flag[j - i :]
+    return shared, hot
+
+
+def _send_lone_keys(unit: Unit, id_col: str, blocks: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Keys of the windows at hot anchors."""
+
+    def send(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows or not pc.any(answers["hot"]).as_py():
+            return _messages(np.zeros(0, np.int64), 0)
+        g = table[G][0].as_py()
+        _, _, data, off = _rows(table, id_col)
+        runs = _group(unit, data, off)
+        known, inverse = np.unique(_short(runs.key, blocks)[1], return_inverse=True)
+        single = np.unique(runs.key[_told(known, answers)[1][inverse]])
+        split = _group(unit, data, off, single)
+        return _messages(np.unique(_short(split.key[split.lone], blocks)[1]), g)
+
+    return send
+
+
+def _in_two(code: np.ndarray, doc: np.ndarray, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Which runs' codes two documents may hold, and which are hot."""
+    known, inverse = np.unique(code, return_inverse=True)
+    shared, hot = _told(known, answers)
+    low, high = np.full(len(known), np.iinfo(np.int64).max), np.full(len(known), np.iinfo(np.int64).min)
+    np.minimum.at(low, inverse, doc)
+    np.maximum.at(high, inverse, doc)
+    return (shared | (low < high))[inverse], hot[inverse]
+
+
 def _send_passages(unit: Unit, id_col: str, blocks: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     names = [x.split()[0] for x in PASSAGES.split(", ")]
 
@@ -213,54 +280,45 @@ def _send_passages(unit: Unit, id_col: str, blocks: int) -> Callable[[pa.Table,
         if not table.num_rows:
             return empty
         g = table[G][0].as_py()
-        table, ids, data, off = _rows(table, id_col)
-        off = _blank_null_ids(table, id_col, off)
+        _, ids, data, off = _rows(table, id_col)
         runs = _group(unit, data, off)
         if not len(runs.key):
             return empty
-        _, code = _short(runs.key, blocks)
-        known, inverse = np.unique(code, return_inverse=True)
-        kind = np.zeros(len(known), np.int8)
-        edge = np.searchsorted(known >> 32, np.arange(blocks + 1))
-        for b, bits in zip(answers["b"].to_pylist(), answers["bits"].to_pylist(), strict=True):
-            n = edge[b + 1] - edge[b]
-            flag = np.unpackbits(np.frombuffer(bits, np.uint8), count=2 * n)
-            kind[edge[b] : edge[b + 1]] = flag[:n] + flag[n:]
-        doc = ids[runs.row]
-        low, high = np.full(len(known), np.iinfo(np.int64).max), np.full(len(known), np.iinfo(np.int64).min)
-        np.minimum.at(low, inverse, doc)
-        np.maximum.at(high, inverse, doc)
-        kind[(kind == 0) & (low < high)] = 1
-        if (kind == 2).any():
-            single = np.unique(runs.key[kind[inverse] == 2])
-            whole = ~np.isin(runs.key, single) & (kind[inverse] > 0)
-            keep = [getattr(runs, n)[whole] for n in Runs.__dataclass_fields__]
-            split = _group(unit, data, off, single)
-            extra = np.flatnonzero(~np.isin(split.key, runs.key))  # the windows; they carry keys of their own
-            runs = Runs(*[np.concatenate([x, getattr(split, n)[extra]]) for x, n in zip(keep, Runs.__dataclass_fields__, strict=True)])
+        shared, hot = _in_two(_short(runs.key, blocks)[1], ids[runs.row], answers.filter(pc.invert(answers["lone"])))
+        if hot.any():
+            split = _group(unit, data, off, np.unique(runs.key[hot]))
+            split = split.pick(split.lone)
+            again, _ = _in_two(_short(split.key, blocks)[1], ids[split.row], answers.filter(answers["lone"]))
+            whole, split = runs.pick(shared & ~hot), split.pick(again)
+            runs = Runs(*[np.concatenate([getattr(whole, n), getattr(split, n)]) for n in Runs.__dataclass_fields__])
         else:
-            runs = Runs(*[getattr(runs, n)[kind[inverse] > 0] for n in Runs.__dataclass_fields__])
+            runs = runs.pick(shared)
         if not len(runs.key):
             return empty
+        text = data.tobytes()
         block, code = _short(runs.key, blocks)
         doc = ids[runs.row]
-        order = np.lexsort((doc, runs.region, code))
-        fresh = np.ones(len(order), bool)
+        order = np.lexsort((doc, runs.region, runs.wins, code))
         c, r, w = code[order], runs.region[order], runs.wins[order]
-        fresh[1:] = (c[1:] != c[:-1]) | (r[1:] != r[:-1]) | (w[1:] != w[:-1])
-        least = doc[order][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-        settled = doc[order] > least
+        fresh = np.append(True, (c[1:] != c[:-1]) | (r[1:] != r[:-1]) | (w[1:] != w[:-1]))
+        least = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+        settled = doc[order] > doc[least]
+        for k in np.flatnonzero(settled).tolist():
+            i, j = order[k], least[k]
+            x, y = text[runs.first[i] : runs.end[i]], text[runs.first[j] : runs.end[j]]
+            settled[k] = x == y or unit.kind == "word" and x.split() == y.split()
         out = []
-        text = data.tobytes()
         cut = np.flatnonzero(np.diff(block[order], prepend=-1))
         for part in np.split(np.arange(len(order)), cut[1:]):
-            mine = order[part[~settled[part]]]
-            done = order[part[settled[part]]]
-            pieces = [text[a:b] for a, b in zip(runs.first[mine].tolist(), runs.end[mine].tolist(), strict=True)]
+            mine = runs.pick(order[part[~settled[part]]])
+            done = runs.pick(order[part[settled[part]]])
+            pieces = [text[a:b] for a, b in zip(mine.first.tolist(), mine.end.tolist(), strict=True)]
             if unit.kind == "word":
                 pieces = [b" ".join(x.split()) for x in pieces]
-            _, short = _short(runs.key[mine], blocks)
-            out.append((int(block[order[part[0]]]), g, (short & 0xFFFFFFFF).astype("<u4").tobytes(), doc[mine].astype("<i8").tobytes(), runs.row[mine].astype("<i4").tobytes(), runs.start[mine].astype("<i4").tobytes(), runs.wins[mine].astype("<i4").tobytes(), np.array([len(x) for x in pieces], "<i4").tobytes(), b"".join(pieces), _pack(runs.row[done], runs.start[done], runs.start[done] + runs.wins[done] + unit.window - 1)))
+            short = _short(mine.key, blocks)[1] & 0xFFFFFFFF
+            numbers = [x.astype("<i4").tobytes() for x in (mine.row, mine.start, mine.wins, np.array([len(x) for x in pieces], np.int64))]
+            spans = _pack(done.row, done.start, done.start + done.wins + unit.window - 1)
+            out.append((int(block[order[part[0]]]), g, short.astype("<u4").tobytes(), ids[mine.row].astype("<i8").tobytes(), *numbers, b"".join(pieces), spans))
         return pa.table({n: pa.array(x, pa.int32() if n in "bg" else pa.binary()) for n, x in zip(names, zip(*out, strict=True), strict=True)})
 
     return send
@@ -300,10 +358,15 @@ def _solve(unit: Unit, kernel: Kernel) -> Callable[[pa.Table], pa.Table]:
             region = _region(np.frombuffer(text, np.uint8), off)
             order = np.lexsort((doc, size, region, key))
             k, r, s = key[order], region[order], size[order]
-            fresh = np.ones(len(order), bool)
-            fresh[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1]) | (s[1:] != s[:-1])
+            fresh = np.append(True, (k[1:] != k[:-1]) | (r[1:] != r[:-1]) | (s[1:] != s[:-1]))
             of = np.cumsum(fresh) - 1
-            first = order[fresh]  # the smallest document with each distinct passage
+            lead = order[fresh].tolist()
+            for i in np.flatnonzero(~fresh).tolist():
+                a, b = off[order[i]], off[lead[of[i]]]
+                if text[a : a + s[i]] != text[b : b + s[i]]:  # equal in hash alone: a passage of its own
+                    of[i] = len(lead)
+                    lead.append(order[i])
+            first = np.array(lead)  # the smallest document with each distinct passage
             full = doc[order] > doc[first][of]
             by = np.lexsort((key[first], doc[first]))
             chosen = first[by]
@@ -358,12 +421,18 @@ def remove_repeats(docs: DataFrame, unit: Unit, kernel: Kernel, keep: Callable[[
     groups = units(docs, GROUP_BYTES[unit.kind])
     spark = docs.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-groups // 8), MOST_PARTITIONS))
-    dealt = docs.withColumns({G: F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.lit(17)), F.lit(groups)).cast("int"), TEXT: F.col(f"`{text_col}`").cast("binary")}).withColumn(id_col, F.col(f"`{id_col}`").cast("long")).drop(text_col).repartition(n, G)
-    keys = dealt.groupBy(G).applyInArrow(_trimmed(_send_keys(unit, id_col, groups)), "b int, g int, keys binary")
-    answers = keys.groupBy("b").applyInArrow(_trimmed(_answer(hot)), "g int, b int, bits binary")
-    passages = dealt.groupBy(G).cogroup(answers.groupBy("g")).applyInArrow(_trimmed(_send_passages(unit, id_col, groups)), PASSAGES)
+    ready = docs.withColumn(TEXT, F.col(f"`{text_col}`").cast("binary")).withColumn(id_col, F.col(f"`{id_col}`").cast("long")).drop(text_col)
+    # rows of one id with different texts may part, so that no id makes a group large
+    group = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), TEXT, F.lit(17)), F.lit(groups)).cast("int")
+    dealt = ready.where(F.col(f"`{id_col}`").isNotNull()).withColumn(G, group).repartition(n, G)
+    keys = dealt.groupBy(G).applyInArrow(_trimmed(_send_keys(unit, id_col, groups)), KEYS)
+    answers = keys.groupBy("b").applyInArrow(_trimmed(_answer(hot)), ANSWERS)
+    lone_keys = dealt.groupBy(G).cogroup(answers.groupBy("g")).applyInArrow(_trimmed(_send_lone_keys(unit, id_col, groups)), KEYS)
+    lone = lone_keys.groupBy("b").applyInArrow(_trimmed(_answer(hot)), ANSWERS)
+    told = answers.withColumn("lone", F.lit(False)).unionByName(lone.withColumn("lone", F.lit(True)))
+    passages = dealt.groupBy(G).cogroup(told.groupBy("g")).applyInArrow(_trimmed(_send_passages(unit, id_col, groups)), PASSAGES)
     spans = passages.groupBy("b").applyInArrow(_trimmed(_solve(unit, kernel)), "g int, spans binary")
-    plain = [f for f in dealt.schema.fields if f.name not in (G, TEXT)]
+    plain = [f for f in ready.schema.fields if f.name not in (G, TEXT)]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in plain] + [f"`{n}` {t}" for n, t, _ in outputs])
 
     def finish(table: pa.Table, found: pa.Table) -> pa.Table:
@@ -380,4 +449,10 @@ def remove_repeats(docs: DataFrame, unit: Unit, kernel: Kernel, keep: Callable[[
         made = [keep(text[a:b], by.get(i, [])) for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True))]
         return pa.Table.from_arrays([table[f.name] for f in plain] + [pa.array(x, t) for x, (_, _, t) in zip(zip(*made, strict=True), outputs, strict=True)], [f.name for f in plain] + [n for n, _, _ in outputs])
 
-    return dealt.groupBy(G).cogroup(spans.groupBy("g")).applyInArrow(_trimmed(finish), schema)
+    def untouched(batches):
+        for batch in batches:
+            made = [keep(x.as_py() or b"", []) for x in batch.column(TEXT)]
+            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in plain] + [pa.array(x, t) for x, (_, _, t) in zip(zip(*made, strict=True), outputs, strict=True)], [f.name for f in plain] + [n for n, _, _ in outputs])
+
+    whole = dealt.groupBy(G).cogroup(spans.groupBy("g")).applyInArrow(_trimmed(finish), schema)
+    return whole.unionByName(ready.where(F.col(f"`{id_col}`").isNull()).mapInArrow(untouched, schema))
