@@ -69,32 +69,29 @@ class Runs:
     #: Where the run's units lie in the group's bytes.
     first: np.ndarray
     end: np.ndarray
-    #: A window of a hot anchor, with its own hash as key.
-    lone: np.ndarray
 
     def pick(self, which: np.ndarray) -> Runs:
         return Runs(*[getattr(self, n)[which] for n in Runs.__dataclass_fields__])
 
 
-def _runs(unit: Unit, data: np.ndarray, off: np.ndarray, base: int, single: np.ndarray | None = None, before: int = 0) -> Runs | None:
+def _units(unit: Unit, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, Prefix]:
+    """First byte and end of each unit of each row, n+1 offsets of the rows' units, and hashes of their ranges."""
+    if unit.kind == "word":
+        first, end, tok = words(data, off)
+        return first, end, tok, Prefix(Prefix(BYTE_HASH[data]).of(first, end))
+    first = np.arange(len(data))
+    return first, first + 1, off, Prefix(BYTE_HASH[data])
+
+
+def _runs(unit: Unit, data: np.ndarray, off: np.ndarray, base: int, before: int = 0) -> Runs | None:
     """Runs of the rows that ``off`` (offsets into the group's ``data``) delimits; ``base``: number of the first row.
 
     ``before``: units of the (only) row ahead of its first byte here.
-
-    ``single``: keys of runs to be split into windows, each with its own hash as key.
     """
-    lo, part, rel = int(off[0]), data[int(off[0]) : int(off[-1])], off - off[0]
-    if unit.kind == "word":
-        first, end, tok = words(part, rel)
-        if len(first) < unit.window:
-            return None
-        value = Prefix(BYTE_HASH[part]).of(first, end)
-    else:
-        first, tok = np.arange(len(part)), rel
-        if len(part) < unit.window:
-            return None
-        end, value = first + 1, BYTE_HASH[part]
-    pre = Prefix(value)
+    lo = int(off[0])
+    first, end, tok, pre = _units(unit, data[lo : int(off[-1])], off - off[0])
+    if len(first) < unit.window:
+        return None
     low = sliding_min(pre.grams(unit.k), unit.window - unit.k + 1)
     row = np.repeat(np.arange(len(tok) - 1), np.diff(tok))
     valid = row[: len(low)] == row[unit.window - 1 :]
@@ -105,17 +102,8 @@ def _runs(unit: Unit, data: np.ndarray, off: np.ndarray, base: int, single: np.n
     at, wins = np.flatnonzero(begin), np.flatnonzero(stop)
     wins = wins - at + 1
     key = mix(low[at] ^ U(0xA0761D6478BD642F))
-    lone = np.zeros(len(at), bool)
-    if single is not None and len(single):
-        hot = np.isin(key, single)
-        if hot.any():
-            more = np.repeat(at[hot], wins[hot]) + _within(wins[hot])
-            at = np.concatenate([at[~hot], more])
-            wins = np.concatenate([wins[~hot], np.ones(len(more), wins.dtype)])
-            key = np.concatenate([key[~hot], mix(pre.of(more, more + unit.window) ^ U(0xE7037ED1A0B428DB))])
-            lone = np.arange(len(at)) >= len(at) - len(more)
     last = at + wins + unit.window - 1
-    return Runs(row[at] + base, at - tok[row[at]] + before, wins, key, pre.of(at, last), first[at] + lo, end[last - 1] + lo, lone)
+    return Runs(row[at] + base, at - tok[row[at]] + before, wins, key, pre.of(at, last), first[at] + lo, end[last - 1] + lo)
 
 
 def _within(lengths: np.ndarray) -> np.ndarray:
@@ -123,7 +111,7 @@ def _within(lengths: np.ndarray) -> np.ndarray:
     return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
-def _long(unit: Unit, data: np.ndarray, a: int, b: int, row: int, single: np.ndarray | None) -> list[Runs]:
+def _long(unit: Unit, data: np.ndarray, a: int, b: int, row: int) -> list[Runs]:
     """Runs of a row longer than a slice, by pieces that overlap by a window less one unit."""
     out, before = [], 0
     while a < b:
@@ -140,25 +128,41 @@ def _long(unit: Unit, data: np.ndarray, a: int, b: int, row: int, single: np.nda
         else:
             stop = end
             step, place = (end - a, b) if end == b else (end - a - unit.window + 1, end - unit.window + 1)
-        r = _runs(unit, data, np.array([a, stop]), row, single, before)
+        r = _runs(unit, data, np.array([a, stop]), row, before)
         if r is not None:
             out.append(r)
         a, before = place, before + step
     return out
 
 
-def _group(unit: Unit, data: np.ndarray, off: np.ndarray, single: np.ndarray | None = None) -> Runs:
+def _group(unit: Unit, data: np.ndarray, off: np.ndarray) -> Runs:
     parts: list[Runs] = []
     for i, j in spans_of_rows(off, SLICE):
         if off[j] - off[i] > SLICE:
-            parts += _long(unit, data, int(off[i]), int(off[j]), i, single)
-        elif (r := _runs(unit, data, off[i : j + 1], i, single)) is not None:
+            parts += _long(unit, data, int(off[i]), int(off[j]), i)
+        elif (r := _runs(unit, data, off[i : j + 1], i)) is not None:
             parts.append(r)
     if not parts:
-        return Runs(*[np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U, U, np.int64, np.int64, bool)])
+        return Runs(*[np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U, U, np.int64, np.int64)])
     return Runs(*[np.concatenate([getattr(p, n) for p in parts]) for n in Runs.__dataclass_fields__])
 
 
+def _windows(unit: Unit, data: np.ndarray, runs: Runs) -> Runs:
+    """The windows of runs, each with its own hash as key."""
+    parts, size = [], np.append(0, np.cumsum(runs.end - runs.first))
+    for i, j in spans_of_rows(size, SLICE):
+        mine = runs.pick(np.arange(i, j))
+        text = np.concatenate([data[a:b] for a, b in zip(mine.first.tolist(), mine.end.tolist(), strict=True)])
+        first, end, tok, pre = _units(unit, text, size[i : j + 1] - size[i])
+        of, k = np.repeat(np.arange(j - i), mine.wins), _within(mine.wins)
+        at = tok[of] + k
+        region = pre.of(at, at + unit.window)
+        shift = mine.first[of] - (size[i:j] - size[i])[of]
+        key = mix(region ^ U(0xE7037ED1A0B428DB))
+        parts.append(Runs(mine.row[of], mine.start[of] + k, np.ones(len(of), np.int64), key, region, first[at] + shift, end[at + unit.window - 1] + shift))
+    return Runs(*[np.concatenate([getattr(p, n) for p in parts]) for n in Runs.__dataclass_fields__]) if parts else runs
+
+
 def _short(key: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     """Block and 32-bit key; one combined value orders and identifies both."""
     block = (key % U(blocks)).astype(np.int64)
@@ -255,9 +259,8 @@ def _send_lone_keys(unit: Unit, id_col: str, blocks: int) -> Callable[[pa.Table,
         _, _, data, off = _rows(table, id_col)
         runs = _group(unit, data, off)
         known, inverse = np.unique(_short(runs.key, blocks)[1], return_inverse=True)
-        single = np.unique(runs.key[_told(known, answers)[1][inverse]])
-        split = _group(unit, data, off, single)
-        return _messages(np.unique(_short(split.key[split.lone], blocks)[1]), g)
+        split = _windows(unit, data, runs.pick(_told(known, answers)[1][inverse]))
+        return _messages(np.unique(_short(split.key, blocks)[1]), g)
 
     return send
 
@@ -286,8 +289,7 @@ def _send_passages(unit: Unit, id_col: str, blocks: int) -> Callable[[pa.Table,
             return empty
         shared, hot = _in_two(_short(runs.key, blocks)[1], ids[runs.row], answers.filter(pc.invert(answers["lone"])))
         if hot.any():
-            split = _group(unit, data, off, np.unique(runs.key[hot]))
-            split = split.pick(split.lone)
+            split = _windows(unit, data, runs.pick(hot))
             again, _ = _in_two(_short(split.key, blocks)[1], ids[split.row], answers.filter(answers["lone"]))
             whole, split = runs.pick(shared & ~hot), split.pick(again)
             runs = Runs(*[np.concatenate([getattr(whole, n), getattr(split, n)]) for n in Runs.__dataclass_fields__])

@@ -1,9 +1,10 @@
-"""Sets of word shingles, their MinHash bands and their exact Jaccard similarity, over Arrow batches."""
+"""Sets of word shingles, their MinHash bands, fingerprints, sketches and exact Jaccard similarity, over Arrow batches."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from trialspark.llm._session import trim
@@ -13,15 +14,26 @@ from trialspark.llm._text import BYTE_HASH, Prefix, U, buffers, mix, pieces_of,
 PIECE = 1 << 19
 #: Two sets of similarity s share a band's key with s**ROWS: 0.8 in one of the bands with 1 - (1 - 0.8**5)**24 = 0.99993.
 BANDS, ROWS = 24, 5
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
+_LANE = (np.arange(8) * 256).astype(np.int64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_MIXED = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=U) * U(0x9E3779B97F4A7C15))
+#: Bytes of a sketch; at similarity 0.8 it strays by 0.018 (one standard deviation).
+PLACES = 512
+_MIXED = mix(np.arange(1, 2 * PLACES + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 _XOR, _TIMES = _MIXED[::2], _MIXED[1::2] | U(1)
 
 
+#: Words of more bytes are hashed by XXH64: sums of powers modulo 2**64 can be made to agree for long ones.
+LONG_WORD = 256
+
+
 def _word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start, end, rows = words(data, off)
-    return Prefix(BYTE_HASH[data]).of(start, end), rows
+    out = Prefix(BYTE_HASH[data]).of(start, end)
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]].tobytes())
+    return out, rows
 
 
 def sets(column: pa.Array, k: int):
@@ -49,64 +61,90 @@ def sets(column: pa.Array, k: int):
         yield a, h[fresh], np.bincount(row[fresh], minlength=b - a)
 
 
-def digests(h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """A hash of each set; 0 for an empty one."""
-    out, some = np.zeros(len(n), U), np.flatnonzero(n)
-    if len(some):
-        out[some] = mix(np.add.reduceat(mix(h), (np.cumsum(n) - n)[some]) + n[some].astype(U))
-    return out
+def digests(h: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """A hash of each set in 16 bytes."""
+    raw, end = memoryview(h.tobytes()), np.cumsum(n) * 8
+    return [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip((end - 8 * n).tolist(), end.tolist(), strict=True)]
+
+
+def _least(h: np.ndarray, at: np.ndarray, places: int):
+    """The least of each set's hashes under ``places`` functions."""
+    for j in range(places):
+        yield np.minimum.reduceat((h ^ _XOR[j]) * _TIMES[j], at)
 
 
-def sketches(k: int):
-    """For ``mapInArrow`` over (id, text): ``(doc_id, digest, n, bands, sketch)``; equal sets have equal digests, empty ones zero and no bands."""
+def bands(k: int):
+    """For ``mapInArrow`` over (doc_id, th, text): ``(doc_id, th, digest, n, bands)``; equal sets have equal digests, empty ones no bands."""
 
     def make(batches):
         for batch in batches:
             trim()
-            for a, h, n in sets(batch.column(1), k):
+            for a, h, n in sets(batch.column(2), k):
                 some = np.flatnonzero(n)
-                at = (np.cumsum(n) - n)[some]
-                bands, low = np.zeros((len(some), BANDS), U), np.zeros((len(some), BANDS * ROWS), np.uint8)
+                out = np.zeros((len(some), BANDS), U)
                 if len(some):
-                    for j in range(BANDS * ROWS):
-                        least = np.minimum.reduceat((h ^ _XOR[j]) * _TIMES[j], at)
-                        low[:, j] = mix(least) & U(255)
-                        bands[:, j // ROWS] = mix((bands[:, j // ROWS] ^ least) + U(j + 1))
+                    for j, least in enumerate(_least(h, (np.cumsum(n) - n)[some], BANDS * ROWS)):
+                        out[:, j // ROWS] = mix((out[:, j // ROWS] ^ least) + U(j + 1))
                 each = np.zeros(len(n) + 1, np.int32)
                 each[1:] = np.cumsum(n > 0)
-                lists = pa.ListArray.from_arrays(pa.array(each * BANDS), pa.array(bands.ravel().view(np.int64)))
-                raw = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(each * (BANDS * ROWS)), pa.py_buffer(low.tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(n)), pa.array(digests(h, n).view(np.int64)), pa.array(n.astype(np.int64)), lists, raw], ["doc_id", "digest", "n", "bands", "sketch"])
-
-    return make, "doc_id long, digest long, n long, bands array<long>, sketch binary"
-
-
-def alike(pairs: DataFrame, share: float) -> DataFrame:
-    """``(u, v)`` of the pairs (u, v, x, y) of sketches that agree in ``share`` of their places at least."""
-
-    def keep(batches):
-        for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in (b.column(2), b.column(3)))
-                yield b.select(["u", "v"]).filter(pa.array((x == y).mean(1) >= share))
+                lists = pa.ListArray.from_arrays(pa.array(each * BANDS), pa.array(out.ravel().view(np.int64)))
+                columns = [batch.column(0).slice(a, len(n)), batch.column(1).slice(a, len(n)), pa.array(digests(h, n), pa.binary()), pa.array(n.astype(np.int64)), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "digest", "n", "bands"])
+
+    return make, "doc_id long, th long, digest binary, n long, bands array<long>"
+
+
+def prints(h: np.ndarray, n: np.ndarray, words: int) -> np.ndarray:
+    """SimHash fingerprints of ``words`` times 64 bits of each non-empty set, from mixtures of its hashes."""
+    out = np.empty((len(n), words), U)
+    end = np.cumsum(n)
+    for w in range(words):
+        raw = mix(h + U(w * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.uint8).reshape(-1, 8)
+        for i, (a, b) in enumerate(zip((end - n).tolist(), end.tolist(), strict=True)):
+            counts = np.bincount((raw[a:b] + _LANE).ravel(), minlength=2048).reshape(8, 256) @ _BITS
+            out[i, w] = np.packbits(counts.ravel() * 2 > b - a).view(U)[0]
+    return out
 
-    return pairs.select("u", "v", "x", "y").mapInArrow(keep, "u long, v long")
 
+def details(k: int, words: int):
+    """For ``mapInArrow`` over (digest, text) of texts with words: ``(digest, n, print, sketch, shingles)``.
 
-def similar(pairs: DataFrame, k: int, least: float) -> DataFrame:
-    """``(u, v)`` of the pairs (u, v, x, y) of texts whose sets of shingles have a Jaccard similarity of ``least`` or more."""
+    ``print``: a fingerprint of ``words`` times 64 bits; ``sketch``: ``PLACES`` bytes, of which two sets of similarity s share s
+    but for chance; ``shingles``: the sorted hashes of the set.
+    """
 
-    def rows(column):
-        for _, h, n in sets(column, k):
-            yield from np.split(h, np.cumsum(n)[:-1])
+    def make(batches):
+        for batch in batches:
+            trim()
+            for a, h, n in sets(batch.column(1), k):
+                end = np.cumsum(n)
+                sketch = np.empty((len(n), PLACES), np.uint8)
+                for j, least in enumerate(_least(h, end - n, PLACES)):
+                    sketch[:, j] = mix(least) & U(255)
+                raw = h.tobytes()
+                columns = [
+                    batch.column(0).slice(a, len(n)),
+                    pa.array(n.astype(np.int64)),
+                    pa.array([x.tobytes() for x in prints(h, n, words)], pa.binary()),
+                    pa.array([x.tobytes() for x in sketch], pa.binary()),
+                    pa.array([raw[8 * (e - m) : 8 * e] for m, e in zip(n.tolist(), end.tolist(), strict=True)], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["digest", "n", "print", "sketch", "shingles"])
+
+    return make, "digest binary, n long, print binary, sketch binary, shingles binary"
+
+
+def similar(pairs: DataFrame, least: float) -> DataFrame:
+    """``(u, v)`` of the pairs (u, v, x, y) whose sets of shingles x and y have a Jaccard similarity of ``least`` or more."""
 
     def keep(batches):
         for b in batches:
-            trim()
             good = []
-            for x, y in zip(rows(b.column(2)), rows(b.column(3)), strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both / max(1, len(x) + len(y) - both) >= least)
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = np.sort(np.concatenate([x, y]))
+                both = int((both[1:] == both[:-1]).sum())
+                good.append(both >= least * (len(x) + len(y) - both))
             yield b.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.select("u", "v", "x", "y").mapInArrow(keep, "u long, v long")
+    return pairs.select("u", "v", "x", "y").mapInArrow(keep, "u binary, v binary")

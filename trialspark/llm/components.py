@@ -1,4 +1,4 @@
-"""Connected components of a graph too large for one machine, by alternating large and small stars."""
+"""Connected components of a graph too large for one machine, and joins on keys of which some have very many rows."""
 
 from __future__ import annotations
 
@@ -7,13 +7,44 @@ from pyspark.sql import functions as F
 
 from trialspark.llm._session import materialize
 
+#: Keys that may be joined by broadcast, at most.
+MOST_HOT = 100_000
+#: No key of fewer rows is.
+LEAST_HOT = 1000
+
+
+def hot_limit(rows: int) -> int:
+    """Rows of a key beyond which it is hot; of ``rows`` rows at most ``MOST_HOT`` keys can be."""
+    return max(LEAST_HOT, rows // MOST_HOT)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, rows: int, count: str | None = None) -> DataFrame:
+    """``left.join(right, key)``, where ``right`` has one row a key and ``left`` has ``rows`` rows, of which any part may share a key.
+
+    The rows of ``right`` that meet over ``hot_limit(rows)`` rows are broadcast, so that these rows of ``left`` stay where
+    they are.  ``count``: the column of ``right`` that says how many rows of ``left`` it meets (it isn't returned);
+    without it they are counted.
+    """
+    counts = right.select(key, F.col(count).alias("__n")) if count else left.groupBy(key).agg(F.count("*").alias("__n"))
+    hot = counts.where(F.col("__n") > hot_limit(rows)).select(key, F.lit(True).alias("__hot"))
+    right = right.drop(count) if count else right
+    some = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
+    marked = left.join(F.broadcast(hot), key, "left")
+    rest = marked.where("__hot is null").drop("__hot").join(right, key)
+    return rest.unionByName(marked.where("__hot").drop("__hot").join(some, key))
+
+
+def _with_least(edges: DataFrame, rows: int) -> DataFrame:
+    """``edges(u, v)`` with ``m``, the least v of each u."""
+    return join_hot(edges, edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "u", rows, "n")
+
 
 def components(edges: DataFrame) -> DataFrame:
-    """``edges(u, v)`` (longs) to ``(u, root)``: each node that isn't the least of its component, with the least.
+    """``edges(u, v)`` (of one orderable type) to ``(u, root)``: each node that isn't the least of its component, with the least.
 
-    Each round keeps at most as many edges as there were nodes and edges; the minima are combined before the shuffle and
-    joined back, so that a node with very many neighbours is split by adaptive skew joins.  Null ends are dropped (an edge
-    needs both); loops and repeated edges have no effect; no edges give no rows.
+    Alternating large and small stars.  Each round keeps at most as many edges as there were nodes and edges; minima are
+    combined before the shuffle, and those of nodes with very many neighbours are broadcast back.  Null ends are dropped
+    (an edge needs both); loops and repeated edges have no effect; no edges give no rows.
     """
     now = materialize(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
@@ -23,8 +54,7 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select("u", F.col("v").alias("root"))
         before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        large = _with_least(both, 2 * state[0]).withColumn("m", F.least("u", "m")).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = _with_least(large, 2 * state[0])
+        small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         now = materialize(small, "stars")

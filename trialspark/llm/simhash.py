@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from trialspark.llm import _shingles
 from trialspark.llm._session import materialize, trim, tune
 from trialspark.llm._text import U, mix, pieces_of
-from trialspark.llm.components import components
+from trialspark.llm.components import components, join_hot
 
 SEED = 42
 #: Bytes of a text that are read at once.
@@ -23,8 +23,14 @@ DENSE = 4096
 FRONTIER = 1 << 20
 #: Routed fingerprints a block has at most on average.
 BLOCK_ROWS = 1 << 19
-#: Sketches of 120 places stray from the similarity by 0.037 at 0.8; what lies over 5 times that below isn't read in full.
-SLACK = 0.2
+#: Of 256 bits two texts of similarity 0.8 differ in 39 (standard deviation 5.7), in 48 (6.2) if they have but 4 and 5 shingles.
+WIDE = 72
+#: A sketch strays from the similarity by 0.018 at 0.8; what lies over 4.8 times that beside it needs no reading.
+SLACK = 0.085
+#: Pairs whose sketches are compared at once.
+STEP = 1 << 15
+#: Rows (of 32 bytes at most) that are broadcast.
+BROADCAST_ROWS = 1 << 19
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _LANE = (np.arange(8) * 256).astype(np.int64)
 
@@ -52,7 +58,7 @@ def several_fingerprints(text: bytes, k: int, prints: int) -> list[int]:
     if not n:
         if not words:
             return [0] * prints
-        return [int(x) for x in _mixtures(np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], U), prints)]
+        return [int(x[0]) for x in _mixtures(np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], U), prints)]
     return [int.from_bytes(np.packbits((c @ _BITS).ravel() * 2 > n).tobytes(), "big") for c in counts]
 
 
@@ -85,60 +91,114 @@ def fingerprints(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col:
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("t")).mapInArrow(make, "doc_id long, fp long, others array<long>")
 
 
-def gray_rank(x: np.ndarray) -> np.ndarray:
-    """Place of each 64-bit value in the Gray code's order."""
+def gray_rank(bits: np.ndarray) -> np.ndarray:
+    """Places in the Gray code's order of values of one or more 64-bit words (rows, most significant word first)."""
+    x = bits.copy()
     for shift in (1, 2, 4, 8, 16, 32):
-        x = x ^ (x >> U(shift))
+        x ^= x >> U(shift)
+    odd = np.bitwise_xor.accumulate(x & U(1), axis=1)  # whether the words so far hold an odd number of ones
+    x[:, 1:] ^= (U(0) - odd[:, :-1])
     return x
 
 
 class GrayIndex:
-    """Fingerprints of many buckets in Gray order, with upper nodes of shared leading bits.
+    """Fingerprints of many buckets in Gray order, below nodes that hold the bits their members agree in.
 
-    Fingerprints that share their first d bits are neighbours in Gray order, so a node is a range; ``depths`` are the
-    masks' lengths from the buckets' level down to whole fingerprints.
+    Gray neighbours differ in few bits, wherever these are.  A node is a run of neighbours that agree in ``shares`` of
+    their bits at least; its mask says in which, its pattern how.  Runs of nodes that agree in fewer bits are nodes of the
+    level above, up to one node a bucket.  Each bit is factored out at the highest node whose members agree in it, so a
+    search adds up the differences of two nodes on its way down and drops both as soon as they exceed the radius.
     """
 
-    def __init__(self, bucket: np.ndarray, bits: np.ndarray, depths: list[int]):
-        self.order = np.lexsort((gray_rank(bits), bucket))
-        bucket, bits = bucket[self.order], bits[self.order]
-        self.prefix, self.child = [], []
-        edges = []
-        for d in depths:
-            top = bits & U((1 << 64) - (1 << (64 - d)))
-            fresh = np.ones(len(bits), bool)
-            fresh[1:] = (top[1:] != top[:-1]) | (bucket[1:] != bucket[:-1])
-            at = np.flatnonzero(fresh)
-            edges.append(at)
-            self.prefix.append(top[at])
-        for above, below in zip(edges, edges[1:], strict=False):
-            self.child.append(np.append(np.searchsorted(below, above), len(below)))
+    def __init__(self, bucket: np.ndarray, bits: np.ndarray, shares: tuple[float, ...] = (0.9, 0.75, 0.5)):
+        bits = bits.reshape(len(bits), -1)
+        width = 64 * bits.shape[1]
+        self.order = np.lexsort((*gray_rank(bits).T[::-1], bucket))
+        level = (bits[self.order], np.full(bits.shape, ~U(0)), bucket[self.order])
+        self.pattern, self.mask, self.child = [level[0]], [level[1]], []
+        for share in (*shares, 0):
+            level, at = self._above(*level, share * width)
+            self.pattern.insert(0, level[0])
+            self.mask.insert(0, level[1])
+            self.child.insert(0, at)
+
+    @staticmethod
+    def _above(pattern: np.ndarray, mask: np.ndarray, bucket: np.ndarray, least: float) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        """Nodes of runs with ``least`` common bits or more, and n+1 offsets of their children."""
+        n = len(pattern)
+        first = np.append(True, bucket[1:] != bucket[:-1])
+        if least:
+            both = mask[1:] & mask[:-1] & ~(pattern[1:] ^ pattern[:-1])
+            near = np.append(False, np.bitwise_count(both).sum(1) >= least) & ~first
+            # only stretches of near neighbours can form nodes; what a stretch's run so far agrees in decides where it ends
+            ends = np.flatnonzero(near & ~np.append(near[1:], False))
+            for i, end in zip(np.flatnonzero(~near & np.append(near[1:], False)).tolist(), ends.tolist(), strict=True):
+                p, m = _ints(pattern[i : end + 1]), _ints(mask[i : end + 1])
+                seen, common = p[0], m[0]
+                for k in range(1, end + 1 - i):
+                    agree = common & m[k] & ~(seen ^ p[k])
+                    if agree.bit_count() >= least:
+                        common = agree
+                    else:
+                        first[i + k], seen, common = True, p[k], m[k]
+            first |= ~near
+        at = np.flatnonzero(first)
+        ones = np.bitwise_and.reduceat(pattern | ~mask, at, axis=0)
+        zeros = np.bitwise_and.reduceat(~pattern | ~mask, at, axis=0)
+        fixed = np.bitwise_and.reduceat(mask, at, axis=0) & (ones | zeros)
+        return (ones & fixed, fixed, bucket[at]), np.append(at, n)
 
     def near(self, radius: int):
-        """Pairs (positions in Gray order) within ``radius`` bits, in parts. Node pairs whose shared bits differ more go at once."""
-        n = len(self.prefix[0])
-        stack = [(0, np.arange(n), np.arange(n))]
+        """Pairs (positions in Gray order) within ``radius`` bits and their distances, in parts."""
+        n = len(self.pattern[0])
+        a = np.arange(n)
+        stack = [(0, a, a, np.zeros(n, np.int64))]
         while stack:
-            level, a, b = stack.pop()
+            level, a, b, far = stack.pop()
             if level == len(self.child):
-                yield a, b
+                yield a, b, far
                 continue
-            lo, hi = self.child[level][:-1], self.child[level][1:]
-            each = (hi - lo)[a] * (hi - lo)[b]
+            lo, size = self.child[level][:-1], np.diff(self.child[level])
+            each = size[a] * size[b]
             total = np.cumsum(each)
             if len(a) > 1 and total[-1] > FRONTIER:
                 cut = max(1, int(np.searchsorted(total, FRONTIER, "right")))
-                stack += [(level, a[cut:], b[cut:]), (level, a[:cut], b[:cut])]
+                stack += [(level, a[cut:], b[cut:], far[cut:]), (level, a[:cut], b[:cut], far[:cut])]
+                continue
+            if len(a) == 1 and total[0] > FRONTIER and size[a[0]] > 1:  # one large pair: by rows of children
+                x = lo[a[0]] + np.arange(size[a[0]])
+                step = max(1, FRONTIER // int(size[b[0]]))
+                for i in range(0, len(x), step):
+                    stack += self._down(level, a, b, far, np.repeat(x[i : i + step], size[b[0]]), np.tile(lo[b[0]] + np.arange(size[b[0]]), len(x[i : i + step])), np.zeros(len(x[i : i + step]) * size[b[0]], np.int64), radius)
                 continue
             pair = np.repeat(np.arange(len(a)), each)
             k = np.arange(len(pair)) - np.repeat(total - each, each)
-            width = (hi - lo)[b][pair]
-            x, y = lo[a][pair] + k // width, lo[b][pair] + k % width
-            below = self.prefix[level + 1]
-            last = level + 1 == len(self.child)
-            keep = ((x < y) if last else (x <= y)) & (np.bitwise_count(below[x] ^ below[y]) <= radius)
-            if keep.any():
-                stack.append((level + 1, x[keep], y[keep]))
+            wide = size[b][pair]
+            stack += self._down(level, a, b, far, lo[a][pair] + k // wide, lo[b][pair] + k % wide, pair, radius)
+
+    def _down(self, level, a, b, far, x, y, pair, radius):
+        """The child pairs (x, y) of node pairs that stay within the radius."""
+        keep = x < y if level + 1 == len(self.child) else x <= y
+        x, y, pair = x[keep], y[keep], pair[keep]
+        far = far[pair]
+        above, below, pattern = self.mask[level], self.mask[level + 1], self.pattern[level + 1]
+        for w in range(pattern.shape[1]):
+            new = below[x, w] & below[y, w] & ~(above[a[pair], w] & above[b[pair], w])
+            far = far + np.bitwise_count((pattern[x, w] ^ pattern[y, w]) & new)
+            keep = far <= radius
+            x, y, pair, far = x[keep], y[keep], pair[keep], far[keep]
+        return [(level + 1, x, y, far)] if len(x) else []
+
+    def nodes(self) -> list[int]:
+        """How many nodes each level has, from the buckets down."""
+        return [len(p) for p in self.pattern]
+
+
+def _ints(words: np.ndarray) -> list[int]:
+    """Rows of 64-bit words as one number each."""
+    raw = words.astype(">u8").tobytes()
+    step = 8 * words.shape[1]
+    return [int.from_bytes(raw[i : i + step], "big") for i in range(0, len(raw), step)]
 
 
 def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -154,43 +214,22 @@ def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def _rotate(fp: np.ndarray, segment: np.ndarray) -> np.ndarray:
-    s = (segment * 16).astype(U)
-    return np.where(segment == 0, fp, (fp << s) | (fp >> ((U(64) - s) & U(63))))
-
-
 def _link(radius: int):
     def link(table: pa.Table) -> pa.Table:
         fp = table["fp"].to_numpy().view(U)
-        seg, sub, kind = (table[n].to_numpy().astype(np.int64) for n in ("seg", "sub", "kind"))
-        out = []
-        for deep in (False, True):
-            at = np.flatnonzero((sub >= 0) == deep)
-            if not len(at):
-                continue
-            bits, s, t, j = _rotate(fp[at], seg[at]), seg[at], sub[at], kind[at]
-            if deep:  # the second segment moves next to the first
-                shift = (U(36) - (t * 12).astype(U))
-                second = (bits >> shift) & U(0xFFF)
-                rest = bits & U(0xFFFFFFFFFFFF)
-                below = rest & ((U(1) << shift) - U(1))
-                above = (rest >> (shift + U(12))) << shift
-                bits = (bits >> U(48) << U(48)) | (second << U(36)) | above | below
-            index = GrayIndex((j * 8 + s) * 8 + t, bits, [28, 36, 44, 52, 64] if deep else [16, 24, 32, 40, 52, 64])
-            label = np.arange(len(at))
-            for a, b in index.near(radius):
-                _join(label, a, b)
-            own = fp[at][index.order].view(np.int64)
-            far = np.flatnonzero(label != np.arange(len(label)))
-            out.append((j[index.order][far], own[far], own[label[far]]))
-        j, u, v = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.table({"kind": j.astype(np.int32), "u": u, "v": v})
+        index = GrayIndex(np.unique(table["bucket"].to_numpy(), return_inverse=True)[1], fp)
+        label = np.arange(len(fp))
+        for a, b, _ in index.near(radius):
+            _join(label, a, b)
+        own = fp[index.order].view(np.int64)
+        far = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"u": own[far], "v": own[label[far]]})
 
     return link
 
 
 def links(fps: DataFrame, radius: int = 3, dense: int = DENSE) -> DataFrame:
-    """Links ``(kind, u, v)`` between distinct fingerprints (columns ``kind``, ``fp``) of one kind that connect exactly what lies within ``radius`` (3 at most) bits.
+    """Links ``(u, v)`` between distinct fingerprints (column ``fp``) that connect exactly what lies within ``radius`` (3 at most) bits.
 
     Two fingerprints that differ in 3 bits agree in one of four 16-bit segments, so each goes to four buckets.  A bucket of
     over ``dense`` members splits again: the other 48 bits hold at most 3 differences, so one of four 12-bit parts agrees
@@ -199,17 +238,18 @@ def links(fps: DataFrame, radius: int = 3, dense: int = DENSE) -> DataFrame:
     if not 0 <= radius <= 3:
         raise ValueError("radius is 0 to 3")
     value = lambda s: F.shiftrightunsigned("fp", 48 - 16 * s).bitwiseAND(0xFFFF)
-    routed = fps.select("kind", "fp", F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), value(s).alias("v")) for s in range(4)])).alias("r")).select("kind", "fp", "r.seg", "r.v")
-    crowded = routed.groupBy("kind", "seg", "v").agg(F.count("*").alias("n")).where(F.col("n") > dense).select("kind", "seg", "v", F.lit(True).alias("crowded"))
-    crowded = F.broadcast(crowded)  # 2**18 rows a kind at most
+    routed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), value(s).alias("v")) for s in range(4)])).alias("r")).select("fp", "r.seg", "r.v")
+    crowded = routed.groupBy("seg", "v").agg(F.count("*").alias("n")).where(F.col("n") > dense).select("seg", "v", F.lit(True).alias("crowded"))
+    crowded = F.broadcast(crowded)  # four segments of 16 bits have 2**18 values, so it has no more rows
     rest = F.when(F.col("seg") == 0, F.col("fp")).otherwise(F.expr("shiftleft(fp, seg * 16) | shiftrightunsigned(fp, (64 - seg * 16) % 64)"))
     part = lambda t: F.shiftrightunsigned(rest, 36 - 12 * t).bitwiseAND(0xFFF)
     whole = F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("w")))
     split = F.array(*[F.struct(F.lit(t).alias("sub"), part(t).alias("w")) for t in range(4)])
-    dealt = routed.join(crowded, ["kind", "seg", "v"], "left").withColumn("q", F.explode(F.when(F.col("crowded"), split).otherwise(whole)))
+    dealt = routed.join(crowded, ["seg", "v"], "left").withColumn("q", F.explode(F.when(F.col("crowded"), split).otherwise(whole)))
     blocks = max(8, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-fps.count() * 16 // BLOCK_ROWS))
-    keyed = dealt.select("kind", "fp", "seg", F.col("q.sub").alias("sub"), F.pmod(F.xxhash64("kind", "seg", "v", "q.sub", "q.w"), F.lit(blocks)).alias("block"))
-    return keyed.groupBy("block").applyInArrow(_link(radius), "kind int, u long, v long")
+    bucket = F.col("seg") * 5 + F.col("q.sub") + 1 + 20 * (F.col("v") * 4096 + F.col("q.w"))
+    keyed = dealt.select("fp", bucket.alias("bucket")).withColumn("block", F.pmod(F.xxhash64("bucket"), F.lit(blocks)))
+    return keyed.groupBy("block").applyInArrow(_link(radius), "u long, v long")
 
 
 def simhash_components(docs: DataFrame, k: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", dense: int = DENSE) -> DataFrame:
@@ -217,86 +257,140 @@ def simhash_components(docs: DataFrame, k: int = 3, radius: int = 3, id_col: str
 
     Fingerprints within ``radius`` bits are linked; ``component_id`` is the smallest id of the component.  Null and empty
     texts have fingerprint zero and link like any other.  Null ids are kept and lose to any other; a component of null ids
-    alone has a null id.  Repeated rows stay.  Empty input: no rows.  Other columns play no part.
+    alone has a null id.  Repeated rows stay.  Empty input: no rows.  Very long texts are read in pieces, with the same
+    fingerprint.  Other columns play no part, whatever their names.
     """
     each = materialize(fingerprints(docs, k, id_col, text_col).drop("others"), "fingerprints")
-    nodes = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
-    roots = components(links(nodes.select(F.lit(0).alias("kind"), "fp"), radius, dense).select("u", "v")).withColumnRenamed("u", "fp")
+    nodes = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows")), "nodes")
+    roots = components(links(nodes, radius, dense)).withColumnRenamed("u", "fp")
     placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    return each.join(placed.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    ids = placed.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("fps"))
+    known = join_hot(placed.select("fp", "root", "rows"), ids, "root", nodes.count(), "fps").select("fp", "component_id", "rows")
+    return join_hot(each, known, "fp", each.count(), "rows").select("doc_id", "fp", "component_id")
 
 
-def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, keeper)``: ids that fall together with a smaller one, as their texts share ``least`` or more of their k-word shingles (Jaccard).
+def _search(least: float, radius: int, slack: float):
+    """Candidate pairs of cells: all that may be similar, but of those that surely are only a spanning forest.
 
-    Within 3 bits fingerprints miss most such pairs near 0.8, so candidates are texts that share one of 24 MinHash bands, which
-    a pair of 0.8 or more does with 0.9999 wherever its edits lie. Each link is verified on the sets of shingles themselves.
-    In a bucket all are held against the text that meets most others; then each pair that no link connects yet. Null ids take
-    no part; rows of one id are one node. Texts without words are equal. ``keeper`` is the component's smallest id.
+    A cell is a bucket, or two tiles of a large one (``i``, ``j``).  With an infinite ``slack`` nothing is sure.
     """
-    tune(docs.sparkSession)
-    given = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("t"))
-    each = materialize(given.mapInArrow(*_shingles.sketches(k)), "sketches")
-    one = [F.first(c).alias(c) for c in ("n", "bands", "sketch")]
-    nodes = materialize(each.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), *one), "nodes")
-    shared = nodes.where("low < high").select("digest", "low")
-    copies = each.join(shared, "digest").where("doc_id > low").select(F.col("doc_id").alias("u"), F.col("low").alias("v")).distinct()
-
-    routed = nodes.select("digest", "n", F.explode("bands").alias("bucket"))
-    sizes = routed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = materialize(routed.join(sizes, "bucket"), "members")
-    weights = members.groupBy("digest").agg(F.sum("size").alias("weight"))
-    first = members.join(weights, "digest").groupBy("bucket").agg(F.max(F.struct("weight", "digest", "n")).alias("f")).select("bucket", F.col("f.digest").alias("p"), F.col("f.n").alias("m"))
-    ids = weights.select("digest").join(nodes.select("digest", "low"), "digest")
-    texts = given.join(ids.select(F.col("low").alias("doc_id")).distinct(), "doc_id").mapInArrow(*_digested(k)).join(ids.withColumnRenamed("low", "doc_id"), ["digest", "doc_id"])
-    texts = materialize(texts.groupBy("digest").agg(F.first("t").alias("t")), "texts")
-    fits = lambda n, m: F.least(n, m) / F.greatest(n, m) >= least
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        side = lambda df, value, end, name: df.select(F.col("digest").alias(end), F.col(value).alias(name))
-        both = pairs.join(side(nodes, "sketch", "u", "x"), "u").join(side(nodes, "sketch", "v", "y"), "v")
-        some = materialize(_shingles.alike(both, least - SLACK), "candidates")
-        return materialize(_shingles.similar(some.join(side(texts, "t", "u", "x"), "u").join(side(texts, "t", "v", "y"), "v"), k, least), "links")
-
-    ordered = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
-    star = materialize(members.join(first, "bucket").where(F.col("digest") != F.col("p")).where(fits("n", "m")).select(*ordered("digest", "p")).distinct(), "star")
-    found = verified(star)
-    roots = components(found).withColumnRenamed("u", "digest")
-    placed = members.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    open_ = placed.select("bucket", "root").distinct()
-    open_ = open_.join(open_.groupBy("bucket").agg(F.count("*").alias("roots")).where("roots > 1").select("bucket"), "bucket")
-    placed = materialize(placed.join(open_, ["bucket", "root"]).select("bucket", "root", "digest", "n"), "open")
-    open_ = placed.groupBy("bucket", "root").agg(F.min("n").alias("a"), F.max("n").alias("b"))
-    other = open_.select("bucket", F.col("root").alias("other"), F.col("a").alias("c"), F.col("b").alias("d"))
-    met = open_.join(other, "bucket").where("root < other").where((F.col("b") >= F.col("c") * least) & (F.col("d") >= F.col("a") * least)).select("bucket", "root", "other")
-    second = placed.select("bucket", F.col("root").alias("other"), F.col("digest").alias("p"), F.col("n").alias("m"))
-    rest = met.join(placed, ["bucket", "root"]).join(second, ["bucket", "other"]).where(fits("n", "m")).select(*ordered("digest", "p")).distinct()
-    found = found.unionByName(verified(rest.join(star, ["u", "v"], "left_anti")))
-
-    low = lambda end, name: nodes.select(F.col("digest").alias(end), F.col("low").alias(name))
-    edges = found.join(low("u", "a"), "u").join(low("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return components(edges.unionByName(copies)).select(F.col("u").alias("doc_id"), F.col("root").alias("keeper"))
-
-
-def _digested(k: int):
-    def make(batches):
-        for b in batches:
-            trim()
-            digest = [pa.array(_shingles.digests(h, n).view(np.int64)) for _, h, n in _shingles.sets(b.column(1), k)]
-            if digest:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.concat_arrays(digest), b.column(1)], ["doc_id", "digest", "t"])
 
-    return make, "doc_id long, digest long, t binary"
+    def search(table: pa.Table) -> pa.Table:
+        wide = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind).reshape(table.num_rows, -1)
+        cell = np.unique(wide_cell(table), axis=0, return_inverse=True)[1].ravel()
+        prints, sketch = wide("print", U).astype(U), wide("sketch", np.uint8)
+        n, tile, split = table["n"].to_numpy(), table["tile"].to_numpy(), table["i"].to_numpy() != table["j"].to_numpy()
+        index = GrayIndex(cell, prints)
+        label, pairs, open_ = np.arange(table.num_rows), [], []
+
+        def differ(a, b):
+            apart = label[a] != label[b]
+            return a[apart], b[apart]
+
+        for a, b, _ in index.near(radius):
+            a, b = index.order[a], index.order[b]
+            fits = (np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b])) & (~split[a] | (tile[a] != tile[b]))
+            a, b = differ(a[fits], b[fits])
+            share = np.concatenate([np.zeros(0), *[(sketch[a[i : i + STEP]] == sketch[b[i : i + STEP]]).mean(1) for i in range(0, len(a), STEP)]])
+            may, sure = share >= least - min(slack, SLACK), share >= least + slack
+            open_.append((a[may & ~sure], b[may & ~sure]))
+            a, b = a[sure], b[sure]
+            while len(a):  # each class takes one link to a class of smaller positions
+                x, y = np.maximum(label[a], label[b]), np.minimum(label[a], label[b])
+                _, at = np.unique(x, return_index=True)
+                pairs.append((a[at], b[at]))
+                np.minimum.at(label, x[at], y[at])
+                while not np.array_equal(label, up := label[label]):
+                    label[:] = up
+                a, b = differ(a, b)
+        found = [differ(a, b) for a, b in open_]
+        digest = np.array(table["digest"].to_pylist(), object)
+        a, b = (np.concatenate([np.zeros(0, np.int64), *[p[k] for p in (*pairs, *found)]]).astype(np.int64) for k in (0, 1))
+        sure = np.arange(len(a)) < sum(len(p[0]) for p in pairs)
+        u, v = digest[a], digest[b]
+        turn = u > v
+        u[turn], v[turn] = v[turn], u[turn]
+        return pa.table({"u": pa.array(u.tolist(), pa.binary()), "v": pa.array(v.tolist(), pa.binary()), "sure": pa.array(sure)})
+
+    def wide_cell(table):
+        return np.stack([table[c].to_numpy().astype(np.int64) for c in ("bucket", "i", "j")], 1)
+
+    return search
+
+
+def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", tile: int = DENSE) -> DataFrame:
+    """``(doc_id, th, keeper)``: rows (by id and XXH64 of the text) that fall together with a smaller one, as their texts share ``least`` or more of their k-word shingles (Jaccard).
+
+    Fingerprints that lie within a few bits miss most such pairs near 0.8, so texts are routed by 24 MinHash bands, of which a
+    pair of 0.8 shares one with 0.9999 wherever its edits lie.  In each bucket the Gray-ordered index finds pairs whose
+    fingerprints of 256 bits differ in ``WIDE`` bits at most, a sketch drops those far below ``least``, and each link that
+    is left is verified on the sets of shingles themselves.  Pairs that the sketch holds for sure copies stand for each
+    other: of these a spanning forest is verified, and should one fail, its buckets are searched again without that.
+    Buckets of over ``tile`` texts are searched by pairs of tiles, so that none gathers in one task.
+
+    Texts of equal sets are one node, whatever their number; texts without words are equal.  Rows of one id with different
+    texts are nodes of their own; rows of one id and text stay or go together.  ``keeper`` is the smallest id of the
+    component; of several rows with that id, the one of the smallest ``th`` stays.  Null ids take no part.  Very long texts are
+    read in pieces, with the same result.  Empty input: no rows.  Other columns play no part, whatever their names.
+    """
+    tune(docs.sparkSession)
+    text = F.col(f"`{text_col}`").cast("binary")
+    given = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("t"))
+    each = materialize(given.mapInArrow(*_shingles.bands(k)), "bands")
+    low = F.min(F.struct("doc_id", "th")).alias("low")
+    nodes = materialize(each.groupBy("digest").agg(low, F.count("*").alias("rows"), F.first("bands").alias("bands")), "nodes")
+    count = nodes.count()
+
+    routed = nodes.select("digest", F.explode("bands").alias("bucket"))
+    sizes = routed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").withColumn("met", F.col("size"))
+    members = materialize(join_hot(routed, sizes, "bucket", _shingles.BANDS * count, "met"), "members")
+    shared = materialize(members.select("digest").distinct().join(nodes, "digest").select("digest", "low.doc_id", "low.th"), "shared")
+    wanted = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
+    texts = given.join(wanted, ["doc_id", "th"]).select("digest", "t").mapInArrow(*_shingles.details(k, 4))
+    one = [F.first(c).alias(c) for c in ("n", "print", "sketch", "shingles")]  # of a text's repeated rows
+    texts = materialize(texts.groupBy("digest").agg(*one), "details")
+
+    tiles = F.ceil(F.col("size") / tile).cast("int")
+    mine = F.pmod(F.xxhash64("digest", "bucket"), tiles).cast("int")
+    other = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda x: F.struct(F.least(x, "tile").alias("i"), F.greatest(x, "tile").alias("j")))
+    cells = members.withColumn("tiles", tiles).withColumn("tile", mine).withColumn("c", F.explode(other)).select("digest", "bucket", "tile", "c.i", "c.j")
+    blocks = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-members.count() // BLOCK_ROWS))
+    cells = cells.join(texts.drop("shingles"), "digest").withColumn("block", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(blocks)))
+    pairs = "u binary, v binary, sure boolean"
+
+    def verified(candidates: DataFrame) -> DataFrame:
+        side = lambda end, name: texts.select(F.col("digest").alias(end), F.col("shingles").alias(name))
+        return materialize(_shingles.similar(candidates.join(side("u", "x"), "u").join(side("v", "y"), "v"), least), "links")
+
+    candidates = cells.groupBy("block").applyInArrow(_search(least, WIDE, SLACK), pairs)
+    candidates = materialize(candidates.groupBy("u", "v").agg(F.max("sure").alias("sure")), "candidates")
+    found = verified(candidates)
+    failed = candidates.where("sure").join(found, ["u", "v"], "left_anti")
+    if failed.limit(1).count():
+        end = lambda name: failed.select("u", "v", F.col(name).alias("digest")).join(members.select("digest", "bucket"), "digest").drop("digest")
+        again = end("u").join(end("v"), ["u", "v", "bucket"], "left_semi").select("bucket").distinct()
+        more = cells.join(again, "bucket", "left_semi").groupBy("block").applyInArrow(_search(least, WIDE, float("inf")), pairs)
+        found = found.unionByName(verified(more.select("u", "v").distinct().join(candidates, ["u", "v"], "left_anti")))
+
+    roots = materialize(components(found).withColumnRenamed("u", "digest"), "roots")
+    linked = roots.select("digest", "root").unionByName(roots.select(F.col("root").alias("digest"), "root").distinct())
+    placed = nodes.select("digest", "low", "rows").join(linked, "digest", "left").where("root is not null or rows > 1").withColumn("root", F.coalesce("root", "digest"))
+    keeper = placed.groupBy("root").agg(F.min("low").alias("keeper"), F.count("*").alias("texts"))
+    known = join_hot(placed.select("digest", "root", "rows"), keeper, "root", count, "texts").select("digest", "keeper", "rows")
+    rows = join_hot(each.select("digest", "doc_id", "th"), known, "digest", each.count(), "rows")
+    return rows.where(F.struct("doc_id", "th") != F.col("keeper")).select("doc_id", "th", F.col("keeper.doc_id").alias("keeper"))
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of ``docs`` but those of ``near_copies``: of each group of near copies the smallest id stays.
+    """The rows of ``docs`` but those of ``near_copies``: of each group of near copies the row with the smallest id stays.
 
-    Rows with one id stay or go together.  Rows with a null id stay.  Empty input: no rows.
+    Rows with a null id stay, as do all rows that repeat the id and text of one that stays.  Empty input: no rows.  Very
+    long texts are read in pieces.  No column of ``docs`` clashes with those used here.
     """
-    gone = near_copies(docs, id_col=id_col, text_col=text_col, **settings).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    gone = materialize(near_copies(docs, id_col=id_col, text_col=text_col, **settings).select("doc_id", "th").distinct(), "gone")
+    gone = (F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone).alias("gone")
+    same = (F.col(f"docs.`{id_col}`").cast("long") == F.col("gone.doc_id")) & (F.xxhash64(F.col(f"docs.`{text_col}`").cast("binary")) == F.col("gone.th"))
+    return docs.alias("docs").join(gone, same, "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,60 +14,78 @@ from trialspark.llm._blocks import HOT, Unit, remove_repeats
 BATCH = 1 << 18
 
 
-def suffixes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """The first ``length`` bytes of the suffixes at ``starts``, as fixed-width strings that compare like bytes."""
-    view = np.lib.stride_tricks.sliding_window_view(data, length)
-    return np.ascontiguousarray(view[starts]).view(f"S{length}").ravel()
+#: Suffixes whose first bytes are spelled out at once when two sorted arrays are held against each other.
+CHUNK = 1 << 16
 
 
 class Family:
-    """Levels of sorted suffixes, each with the smallest document that has it; sizes double from level to level."""
+    """Suffix arrays of one text, each with the smallest document of each suffix; sizes at least double from one to the next.
+
+    A level is an array of positions in the text, sorted by the ``length`` bytes that follow.  A new batch gets an array of
+    its own, is merge-scanned against all levels, and then merges with every level that isn't twice its size.
+    """
 
     def __init__(self, length: int):
         self.length = length
-        self.levels: list[tuple[int, np.ndarray, np.ndarray] | None] = []
-
-    def add(self, data: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Take a batch of documents no smaller than those before; flags suffixes whose first bytes a smaller one has."""
-        keys = suffixes(data, starts, self.length)
-        array = np.lexsort((doc, keys))  # the batch's suffix array, ties by document
-        keys, own = keys[array], doc[array]
-        fresh = np.ones(len(keys), bool)
-        fresh[1:] = keys[1:] != keys[:-1]
-        distinct, least = keys[fresh], own[fresh]
+        self.text = np.zeros(0, np.uint8)
+        #: Sorted positions and their documents, from the largest level to the smallest.
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def _spell(self, at: np.ndarray) -> np.ndarray:
+        """The first ``length`` bytes of suffixes, as strings that compare like bytes."""
+        view = np.lib.stride_tricks.sliding_window_view(self.text, self.length)
+        return np.ascontiguousarray(view[at]).view(f"S{self.length}").ravel()
+
+    def _scan(self, at: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each of the sorted distinct suffixes ``at``: its place in the sorted ``level``, and whether its bytes stand there."""
+        place, same = np.empty(len(at), np.int64), np.zeros(len(at), bool)
+        for i in range(0, len(at), CHUNK):
+            mine = self._spell(at[i : i + CHUNK])
+            spelled = lambda p: self._spell(np.array([p]))[0]
+            low, high = bisect_left(level, mine[0], key=spelled), bisect_right(level, mine[-1], key=spelled)
+            done = 0
+            for c in range(low, high, CHUNK):
+                there = self._spell(level[c : min(c + CHUNK, high)])
+                upto = int(np.searchsorted(mine, there[-1], "right"))
+                k = np.searchsorted(there, mine[done:upto])
+                place[i + done : i + upto] = c + k
+                same[i + done : i + upto] = there[k] == mine[done:upto]
+                done = upto
+            place[i + done : i + len(mine)] = high
+        return place, same
+
+    def add(self, text: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Take suffixes of documents no smaller than those before; flags those whose first bytes a smaller one has.
+
+        All batches are of the same ``text``.
+        """
+        self.text = text
+        starts = starts.astype(np.int32 if len(text) < 1 << 31 else np.int64)
+        keys = self._spell(starts)
+        array = np.argsort(keys, kind="stable")  # the batch's suffix array, ties by document
+        keys = keys[array]
+        fresh = np.append(True, keys[1:] != keys[:-1])
+        del keys
         group = np.cumsum(fresh) - 1
+        at, least = starts[array[fresh]], doc[array[fresh]]
         best = least.copy()
-        for level in self.levels:  # merge-scan: both sides are sorted
-            if level is not None:
-                _, there, theirs = level
-                at = np.minimum(np.searchsorted(there, distinct), len(there) - 1)
-                same = there[at] == distinct
-                best[same] = np.minimum(best[same], theirs[at[same]])
+        for level, theirs in self.levels:
+            place, same = self._scan(at, level)
+            best[same] = np.minimum(best[same], theirs[place[same]])
         flags = np.empty(len(starts), bool)
-        flags[array] = own > best[group]
+        flags[array] = doc[array] > best[group]
         new = best == least  # what a level already has from a smaller document isn't stored again
-        self._push(distinct[new], least[new])
+        self._push(at[new], least[new])
         return flags
 
-    def _push(self, keys: np.ndarray, docs: np.ndarray) -> None:
-        if not len(keys):
+    def _push(self, at: np.ndarray, docs: np.ndarray) -> None:
+        if not len(at):
             return
-        k = 0
-        while True:
-            if k == len(self.levels):
-                self.levels.append(None)
-            if self.levels[k] is None:
-                self.levels[k] = (k, keys, docs)
-                return
-            _, there, theirs = self.levels[k]
-            self.levels[k] = None
-            keys, docs = np.concatenate([there, keys]), np.concatenate([theirs, docs])
-            order = np.argsort(keys, kind="stable")  # two sorted runs; the older level stands first among equals
-            keys, docs = keys[order], docs[order]
-            fresh = np.ones(len(keys), bool)
-            fresh[1:] = keys[1:] != keys[:-1]
-            keys, docs = keys[fresh], docs[fresh]
-            k += 1
+        while self.levels and len(self.levels[-1][0]) < 2 * len(at):
+            level, theirs = self.levels.pop()
+            place, same = self._scan(at, level)  # where both have a suffix, the older level's document is no larger
+            at, docs = np.insert(level, place[~same], at[~same]), np.insert(theirs, place[~same], docs[~same])
+        self.levels.append((at, docs))
 
 
 def _kernel(length: int, batch: int):
