@@ -40,11 +40,10 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Bins of all n-grams of all rows, their rows, and whether each row has a letter.
 
     Letters are lower-cased, each run of other characters is one gap, a gap stands before and after each row, and no n-gram
-    spans two rows.  Rows longer than a slice are read as pieces cut at separators.
+    spans two rows.  A row longer than a slice is read in pieces, with the same bins.
     """
     if len(offsets) == 2 and offsets[1] - offsets[0] > SLICE:
-        got = [grams(data[a:b], np.array([0, b - a])) for a, b in pieces_of(data, SLICE)]
-        return tuple(np.concatenate([g[k] for g in got]) for k in range(2)) + (np.array([any(g[2][0] for g in got)]),)
+        return _long_grams(data)
     rows = len(offsets) - 1
     text = data.tobytes().decode("utf-8", "surrogatepass") if _utf8(data) else None
     if text is None:
@@ -65,20 +64,50 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     points = np.insert(points, begin, GAP)
     row = np.insert(row, begin, row[begin])
     bins, owners = [], []
+    for n, binned in _binned(points):
+        ok = row[: len(binned)] == row[n - 1 :]
+        bins.append(binned[ok])
+        owners.append(row[: len(binned)][ok])
+    if not bins:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), has
+    return np.concatenate(bins), np.concatenate(owners), has
+
+
+def _binned(points: np.ndarray):
+    """Bins of all n-grams of one sequence of code points, for each n."""
     h = points.astype(U) + U(1)
     rolling = np.zeros(len(h), U)
     for n in range(1, max(ORDERS) + 1):
         m = len(h) - n + 1
         if m <= 0:
-            break
+            return
         rolling = rolling[:m] * U(0x100000001B3) + h[n - 1 :]
         if n in ORDERS:
-            ok = row[:m] == row[n - 1 :]
-            bins.append((mix(rolling[ok] * U(8) + U(n)) >> U(64 - 15)).astype(np.int32))
-            owners.append(row[:m][ok])
-    if not bins:
-        return np.zeros(0, np.int32), np.zeros(0, np.int32), has
-    return np.concatenate(bins), np.concatenate(owners), has
+            yield n, (mix(rolling * U(8) + U(n)) >> U(64 - 15)).astype(np.int32)
+
+
+def _long_grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``grams`` of one row, in pieces that carry over the last points and whether a letter came last."""
+    bins, tail, letter, has = [], np.zeros(0, np.uint32), False, False
+    for a, b in pieces_of(data, SLICE):
+        points = letters()[np.frombuffer(data[a:b].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)]
+        if not len(points):
+            continue
+        keep = points != GAP
+        has |= bool(keep.any())
+        keep[1:] |= points[:-1] != GAP
+        keep[0] |= letter
+        letter = bool(points[-1] != GAP)
+        points = points[keep]
+        if not len(tail) and len(points):
+            tail, first = np.array([GAP], np.uint32), True
+        else:
+            first = False
+        for n, binned in _binned(now := np.concatenate([tail, points])):
+            bins.append(binned[0 if first else max(0, len(tail) - n + 1) :])
+        tail = now[1 - max(ORDERS) :]
+    out = np.concatenate([np.zeros(0, np.int32), *bins])
+    return out, np.zeros(len(out), np.int32), np.array([has])
 
 
 def _utf8(data: np.ndarray) -> bool:
@@ -166,7 +195,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoot
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The columns of ``docs`` but the text, with ``lang_pred`` and ``score`` (posterior, tempered for overlapping n-grams).
 
-    Only the text decides.  Null texts and texts without a letter are "und" with score 0, as is every text of a model that
+    Only the text decides, whole, however long.  Null texts and texts without a letter are "und" with score 0, as is every text of a model that
     learned nothing.  Ties go to the language first in order of name.  Empty input: no rows.  Columns of ``docs`` with an
     output's name give way to it.
     """
