@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialspark.llm._session import materialize, without
+from trialspark.llm._session import materialize, units, without
 
 SEED = 20240
 #: A table of sources up to this many rows is broadcast; a larger one is joined by source.
 BROADCAST_SOURCES = 10_000
+#: Stored bytes of an output partition.
+PARTITION_BYTES = 64 << 20
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | DataFrame | None, source_col: str, size: str, epochs: float) -> DataFrame:
@@ -53,8 +55,9 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | DataFrame | None =
 
     ``weights`` (default: equal) are the sources' target shares of ``size``, a SQL expression, and ``epochs`` the size of the
     result over the input's.  A count is the least k whose distribution function exceeds a uniform number hashed from id
-    and seed.  Returns the columns of ``docs`` with ``replica`` (from 1) and ``shuffle_key``, range-partitioned and sorted
-    by the key, a hash of id, replica and seed.
+    and seed.  Returns the columns of ``docs`` with ``replica`` (from 1) and ``shuffle_key``, partitioned by ranges of the key
+    and sorted by it; the key is a hash of id, replica and seed, so its ranges are known without a sample.  Rows of one id
+    share their keys; among these ties rows stand in no set order.  Long texts move as they are.
 
     A null source is a source of its own (with ``weights``: of weight 0 unless they name it).  Sources without a weight
     and weights of 0 give no rows.  Null ids hash as "null"; rows with one id share their count and their keys.  Null texts
@@ -69,7 +72,9 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | DataFrame | None =
     copies = counted.withColumn("replica", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     key = F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")), F.col("replica").cast("string"), F.lit(str(seed + 1)))), 1, 16)
     out = copies.withColumn("shuffle_key", key).select(*docs.columns, "replica", "shuffle_key")
-    return out.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key", f"`{id_col}`")
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), units(docs, int(PARTITION_BYTES / max(1e-3, epochs))))
+    part = F.floor(F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("long") * F.lit(n) / F.lit(1 << 32)).cast("int")
+    return out.repartitionById(n, part).sortWithinPartitions("shuffle_key")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
