@@ -15,8 +15,6 @@ from trialspark.llm._text import BYTE_HASH, Prefix, U, buffers, mix, spans_of_ro
 SLICE = 1 << 19
 #: Labelled rows the classifier is fitted on, at most.
 MOST_LABELLED = 12_000
-#: Words and word beginnings it keeps, at most.
-MOST_TERMS = 1024
 #: A table of sites up to this many rows is broadcast; a larger one is joined by its keys.
 BROADCAST_SITES = 100_000
 BEGINNINGS = (4, 5)
@@ -129,10 +127,11 @@ def strong_bin(n: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, good: str = "quality = 1 and toxic = 0", id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED, least_z: float = 3.0) -> Model:
     """Logistic regression on at most ``most`` labelled rows, those whose ids hash lowest.
 
-    Terms are words and their first letters that mark bad rows (share in bad over share in good rows, ``least_z`` standard
-    errors apart at least); clean rows are told by shares of upper case, digits, signs,
-    repeated lines, repeated and distinct words.  Labels with nulls, or of rows that are absent, teach nothing; without both kinds
-    of labels every row has the labelled rows' odds (even ones, if there are none).
+    Terms are all words and first letters of words that mark bad rows (share in bad over share in good rows, ``least_z``
+    standard errors apart at least); clean rows are told by shares of upper case, digits, signs, repeated lines, repeated
+    and distinct words.  Texts are read whole.  Labels with nulls, or of rows that are absent, teach nothing; of several
+    labels of an id the worst counts, of several texts of an id the one whose XXH64 is least.  Without both kinds of labels
+    every row has the labelled rows' odds (even ones, if there are none).
     """
     tune(docs.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("__id"), F.expr(good).cast("int").alias("__y")).where("__id is not null and __y is not null")
@@ -150,7 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, good: str = "quality = 1 and toxic =
                 yield pa.RecordBatch.from_arrays([part.column("y"), pa.array([term[a:b].astype("<u4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array([x.astype("<i4").tobytes() for x in share_bins(shares, n)], pa.binary())], ["y", "terms", "shares"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").cast("binary").alias("t")).where("t is not null")
-    got = rows.join(F.broadcast(chosen), "__id").select("t", F.col("__y").alias("y")).mapInArrow(make, "y int, terms binary, shares binary").limit(4 * most).toPandas()
+    one = rows.join(F.broadcast(chosen), "__id").groupBy("__id").agg(F.min_by("t", F.xxhash64("t")).alias("t"), F.first("__y").alias("y"))
+    got = one.select("t", "y").mapInArrow(make, "y int, terms binary, shares binary").toPandas()  # ``most`` rows
     y = got.y.to_numpy(np.float64)
     none = Model(np.zeros(0, np.uint32), np.zeros(0), np.zeros(0), np.zeros(len(STRONG_EDGES) + 1), np.zeros(_share_columns()), float(np.log((y.sum() + 1) / ((1 - y).sum() + 1))))
     if len(y) == 0 or y.min() == y.max():
@@ -165,42 +165,44 @@ def fit(docs: DataFrame, labels: DataFrame, good: str = "quality = 1 and toxic =
     p = (bad + fine) / len(y)
     z = (bad / nb - fine / ng) / np.sqrt(p * (1 - p) * (1 / nb + 1 / ng) + 1e-12)
     marks = np.flatnonzero((z > least_z) & (bad >= 0.9 * (bad + fine)))
-    marks = np.sort(marks[np.argsort(-z[marks], kind="stable")][:MOST_TERMS])
     strong = ((z > STRONG_Z) & (bad >= STRONG_SHARE * (bad + fine)))[marks].astype(float)
     marks, m = terms[marks], len(marks)
-    x = np.zeros((len(y), m + len(STRONG_EDGES) + 1 + _share_columns()), np.float32)
-    for i, (t, s) in enumerate(zip(lists, got.shares, strict=True)):
-        n = 0.0
-        if m:
-            k = np.minimum(np.searchsorted(marks, t), m - 1)
-            k = k[marks[k] == t]
-            x[i, k] = 1
-            n = strong[k].sum()
-        x[i, m + strong_bin(n)] = 1
-        x[i, m + len(STRONG_EDGES) + 1 + np.frombuffer(s, "<i4")] = 1
+    columns = []
+    for t, s in zip(lists, got.shares, strict=True):
+        k = np.minimum(np.searchsorted(marks, t), max(0, m - 1))
+        k = k[marks[k] == t] if m else k[:0]
+        columns.append(np.concatenate([k, [m + strong_bin(strong[k].sum())], m + len(STRONG_EDGES) + 1 + np.frombuffer(s, "<i4")]))
     del got, lists
-    w, bias = _logistic(x, y)
+    w, bias = _logistic(columns, m + len(STRONG_EDGES) + 1 + _share_columns(), y)
     return Model(marks, strong, w[:m], w[m : m + len(STRONG_EDGES) + 1], w[m + len(STRONG_EDGES) + 1 :], bias)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 600, rate: float = 0.1, decay: float = 2e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on all rows, with quadratic decay; deterministic."""
-    w, m, v = (np.zeros(x.shape[1] + 1) for _ in range(3))
+def _logistic(columns: list[np.ndarray], width: int, y: np.ndarray, rounds: int = 600, rate: float = 0.1, decay: float = 2e-5) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam on all rows (each the list of its columns that are 1), with quadratic decay; deterministic."""
+    at = np.concatenate(columns)
+    size = np.array([len(c) for c in columns])
+    first = np.cumsum(size) - size
+    w, m, v = (np.zeros(width + 1) for _ in range(3))
     for t in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w[:-1].astype(np.float32) + w[-1], -30, 30)))
-        e = (p - y).astype(np.float32)
-        g = np.append(x.T @ e / len(y) + decay * w[:-1], e.mean())
+        p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(w[at], first) + w[-1], -30, 30)))
+        e = p - y
+        g = np.append(np.bincount(at, np.repeat(e, size), width) / len(y) + decay * w[:-1], e.mean())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
-def evidence(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The columns of ``docs`` and ``__logit``, the classifier's log-odds that the text is good. Null text: as an empty one."""
+def evidence(docs: DataFrame, model: Model, text_col: str = "text", drop: bool = False) -> DataFrame:
+    """The columns of ``docs`` (with ``drop``: but the text) and ``__logit``, the classifier's log-odds that the text is good.
+
+    Null text: as an empty one.  Long texts are read whole.  A column ``__logit`` of ``docs`` gives way.
+    """
     tune(docs.sparkSession)
+    docs = without(docs, "__logit")
     held = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["__logit double"])
+    fields = [f for f in docs.schema.fields if not (drop and f.name == text_col)]
+    names = [f.name for f in fields]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["__logit double"])
 
     def work(batches):
         for batch in batches:
@@ -208,7 +210,7 @@ def evidence(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             for i, j in spans_of_rows(buffers(batch.column(text_col))[1], SLICE):
                 part = batch.slice(i, j - i)
                 data, off = buffers(part.column(text_col))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(held.value.logits(data[off[0] : off[-1]], off - off[0]))], [*names, "__logit"])
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(held.value.logits(data[off[0] : off[-1]], off - off[0]))], [*names, "__logit"])
 
     return docs.mapInArrow(work, schema)
 
@@ -243,27 +245,29 @@ def sites(scored: DataFrame) -> DataFrame:
     return both.select("host", "path", prior.alias("prior")).withColumn("shift", F.log(F.col("prior") / (1 - F.col("prior"))) - float(np.log(mean / (1 - mean))))
 
 
-def classify(docs: DataFrame, model: Model, host: str = "source", path: str = "lang", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The columns of ``docs`` with ``site_prior``, ``score`` (posterior that the row is good) and ``keep`` (score >= threshold).
+def classify(docs: DataFrame, model: Model, host: str = "source", path: str = "lang", text_col: str = "text", threshold: float = 0.5, carry: list[str] | None = None) -> DataFrame:
+    """The columns of ``docs`` (or ``carry``) with ``site_prior``, ``score`` (posterior that the row is good) and ``keep`` (score >= threshold).
 
     ``host`` and ``path`` are SQL expressions (for pages: of the url).  Each row's odds are the classifier's times its
-    path's over all rows'.  Null hosts and paths are sites like any other.  A null text counts as an empty one.
-    Repeated rows each count.  Empty input: no rows.  Columns of ``docs`` with an output's name give way to it.
+    path's over all rows'.  Texts are read once, whole, and their evidence is written.  Null hosts and paths are sites like
+    any other.  A null text counts as an empty one.  Repeated rows each count.  Empty input: no rows.  Columns of ``docs``
+    with an output's name give way to it.
     """
-    docs = without(docs, "site_prior", "score", "keep", "__host", "__path", "__logit")
-    keyed = docs.withColumns({"__host": F.expr(host).cast("string"), "__path": F.expr(path).cast("string")})
-    light = keyed.select("__host", "__path", F.col(f"`{text_col}`").alias("t"))
-    scored = evidence(light, model, "t").select(F.col("__host").alias("host"), F.col("__path").alias("path"), (1 / (1 + F.exp(-F.col("__logit")))).alias("p"))
+    own = ("site_prior", "score", "keep", "shift", "__host", "__path", "__logit", "__read", "__h", "__p")
+    docs = without(docs, *own)
+    carry = [c for c in docs.columns if carry is None or c in carry]
+    keyed = docs.select(*[F.col(f"`{c}`") for c in carry], F.expr(host).cast("string").alias("__host"), F.expr(path).cast("string").alias("__path"), F.col(f"`{text_col}`").alias("__read"))
+    full = materialize(evidence(keyed, model, "__read", drop=True), "evidence")
+    scored = full.select(F.col("__host").alias("host"), F.col("__path").alias("path"), (1 / (1 + F.exp(-F.col("__logit")))).alias("p"))
     table = materialize(sites(scored).select(F.col("host").alias("__h"), F.col("path").alias("__p"), F.col("prior").alias("site_prior"), "shift"), "sites")
     if table.count() <= BROADCAST_SITES:
         table = F.broadcast(table)
-    full = evidence(keyed, model, text_col)
     joined = full.join(table, full["__host"].eqNullSafe(table["__h"]) & full["__path"].eqNullSafe(table["__p"]), "left")
     score = 1 / (1 + F.exp(-(F.col("__logit") + F.coalesce("shift", F.lit(0.0)))))
-    return joined.withColumn("score", score).withColumn("keep", F.col("score") >= threshold).select(*docs.columns, "site_prior", "score", "keep")
+    return joined.withColumn("score", score).withColumn("keep", F.col("score") >= threshold).select(*[F.col(f"`{c}`") for c in carry], "site_prior", "score", "keep")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return classify(docs.select("doc_id", "text", "source", "lang"), model).select("doc_id", "site_prior", "score", "keep")
+    return classify(docs.select("doc_id", "text", "source", "lang"), model, carry=["doc_id"]).select("doc_id", "site_prior", "score", "keep")
