@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
 
 from trialspark.llm._session import trim
 from trialspark.llm._text import BYTE_HASH, Prefix, U, buffers, mix, pieces_of, spans_of_rows, words
@@ -132,19 +131,3 @@ def details(k: int, words: int):
                 yield pa.RecordBatch.from_arrays(columns, ["digest", "n", "print", "sketch", "shingles"])
 
     return make, "digest binary, n long, print binary, sketch binary, shingles binary"
-
-
-def similar(pairs: DataFrame, least: float) -> DataFrame:
-    """``(u, v)`` of the pairs (u, v, x, y) whose sets of shingles x and y have a Jaccard similarity of ``least`` or more."""
-
-    def keep(batches):
-        for b in batches:
-            good = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([x, y]))
-                both = int((both[1:] == both[:-1]).sum())
-                good.append(both >= least * (len(x) + len(y) - both))
-            yield b.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
-
-    return pairs.select("u", "v", "x", "y").mapInArrow(keep, "u binary, v binary")

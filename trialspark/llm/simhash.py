@@ -27,8 +27,10 @@ BLOCK_ROWS = 1 << 19
 WIDE = 72
 #: A sketch strays from the similarity by 0.018 at 0.8; what lies over 4.8 times that beside it needs no reading.
 SLACK = 0.085
-#: Pairs whose sketches are compared at once.
-STEP = 1 << 15
+#: Pairs whose sketches are compared at once, and pairs that are tried on their sets before what they connect is looked at again.
+STEP, PAIRS = 1 << 15, 1 << 12
+#: Texts of a block of buckets; bytes of sets of a block of clusters, and of a tile.
+BLOCK_TEXTS, BLOCK_BYTES, TILE_BYTES = 1 << 15, 16 << 20, 32 << 20
 #: Rows (of 32 bytes at most) that are broadcast.
 BROADCAST_ROWS = 1 << 19
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -269,53 +271,66 @@ def simhash_components(docs: DataFrame, k: int = 3, radius: int = 3, id_col: str
     return join_hot(each, known, "fp", each.count(), "rows").select("doc_id", "fp", "component_id")
 
 
-def _search(least: float, radius: int, slack: float):
-    """Candidate pairs of cells: all that may be similar, but of those that surely are only a spanning forest.
+def _forest(table: pa.Table, cells: tuple[str, ...], least: float, exact: bool) -> tuple[list[bytes], list[bytes]]:
+    """Links that connect, in each cell of a table, all texts that may be similar; with ``exact``, whose sets of shingles are.
 
-    A cell is a bucket, or two tiles of a large one (``i``, ``j``).  With an infinite ``slack`` nothing is sure.
+    A cell is what agrees in the columns ``cells``; of a cell of two tiles (``i`` and ``j`` differ) only pairs of both are met.
     """
+    wide = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind).reshape(table.num_rows, -1)
+    cell = np.unique(np.stack([table[c].to_numpy().astype(np.int64) for c in cells], 1), axis=0, return_inverse=True)[1].ravel()
+    n, tile, two = table["n"].to_numpy(), table["tile"].to_numpy(), table["i"].to_numpy() != table["j"].to_numpy()
+    sketch, label, out = wide("sketch", np.uint8), np.arange(table.num_rows), []
+    sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()] if exact else []
+
+    def similar(i: int, j: int) -> bool:
+        x, y = sets[i], sets[j]
+        both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+        return both >= least * (len(x) + len(y) - both)
+
+    index = GrayIndex(cell, wide("print", U).astype(U))
+    for a, b, _ in index.near(WIDE):
+        a, b = index.order[a], index.order[b]
+        fits = (label[a] != label[b]) & (np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b])) & (~two[a] | (tile[a] != tile[b]))
+        a, b = a[fits], b[fits]
+        share = np.concatenate([np.zeros(0), *[(sketch[a[i : i + STEP]] == sketch[b[i : i + STEP]]).mean(1) for i in range(0, len(a), STEP)]])
+        order = np.argsort(-share, kind="stable")[: int((share >= least - SLACK).sum())]
+        a, b = a[order], b[order]
+        for i in range(0, len(a), PAIRS if exact else max(1, len(a))):
+            x, y = (a[i : i + PAIRS], b[i : i + PAIRS]) if exact else (a, b)
+            while True:
+                apart = label[x] != label[y]
+                x, y = x[apart], y[apart]
+                if not len(x):
+                    break
+                # each class tries its likeliest link to one of a smaller position
+                at = np.unique(np.maximum(label[x], label[y]), return_index=True)[1]
+                p, q = x[at], y[at]
+                if exact:
+                    good = np.array([similar(*k) for k in zip(p.tolist(), q.tolist(), strict=True)], bool)
+                    x, y = np.delete(x, at), np.delete(y, at)
+                    p, q = p[good], q[good]
+                out.append((p, q))
+                _join(label, p, q)
+    digest = table["digest"].to_pylist()
+    ends = [(digest[i], digest[j]) for p, q in out for i, j in zip(p.tolist(), q.tolist(), strict=True)]
+    return [max(e) for e in ends], [min(e) for e in ends]
+
+
+def _linked(cells: tuple[str, ...], least: float, exact: bool):
+    def link(table: pa.Table) -> pa.Table:
+        u, v = _forest(table, cells, least, exact)
+        trim()
+        return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
 
-    def search(table: pa.Table) -> pa.Table:
-        wide = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind).reshape(table.num_rows, -1)
-        cell = np.unique(wide_cell(table), axis=0, return_inverse=True)[1].ravel()
-        prints, sketch = wide("print", U).astype(U), wide("sketch", np.uint8)
-        n, tile, split = table["n"].to_numpy(), table["tile"].to_numpy(), table["i"].to_numpy() != table["j"].to_numpy()
-        index = GrayIndex(cell, prints)
-        label, pairs, open_ = np.arange(table.num_rows), [], []
+    return link
 
-        def differ(a, b):
-            apart = label[a] != label[b]
-            return a[apart], b[apart]
 
-        for a, b, _ in index.near(radius):
-            a, b = index.order[a], index.order[b]
-            fits = (np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b])) & (~split[a] | (tile[a] != tile[b]))
-            a, b = differ(a[fits], b[fits])
-            share = np.concatenate([np.zeros(0), *[(sketch[a[i : i + STEP]] == sketch[b[i : i + STEP]]).mean(1) for i in range(0, len(a), STEP)]])
-            may, sure = share >= least - min(slack, SLACK), share >= least + slack
-            open_.append((a[may & ~sure], b[may & ~sure]))
-            a, b = a[sure], b[sure]
-            while len(a):  # each class takes one link to a class of smaller positions
-                x, y = np.maximum(label[a], label[b]), np.minimum(label[a], label[b])
-                _, at = np.unique(x, return_index=True)
-                pairs.append((a[at], b[at]))
-                np.minimum.at(label, x[at], y[at])
-                while not np.array_equal(label, up := label[label]):
-                    label[:] = up
-                a, b = differ(a, b)
-        found = [differ(a, b) for a, b in open_]
-        digest = np.array(table["digest"].to_pylist(), object)
-        a, b = (np.concatenate([np.zeros(0, np.int64), *[p[k] for p in (*pairs, *found)]]).astype(np.int64) for k in (0, 1))
-        sure = np.arange(len(a)) < sum(len(p[0]) for p in pairs)
-        u, v = digest[a], digest[b]
-        turn = u > v
-        u[turn], v[turn] = v[turn], u[turn]
-        return pa.table({"u": pa.array(u.tolist(), pa.binary()), "v": pa.array(v.tolist(), pa.binary()), "sure": pa.array(sure)})
-
-    def wide_cell(table):
-        return np.stack([table[c].to_numpy().astype(np.int64) for c in ("bucket", "i", "j")], 1)
-
-    return search
+def _tiled(df: DataFrame, key: str, tiles, texts: DataFrame, blocks: int) -> DataFrame:
+    """Rows (key, digest) with what is known of their texts, dealt into blocks; a key of several tiles has a cell for each two."""
+    tile = F.pmod(F.xxhash64("digest", key), F.col("tiles")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda x: F.struct(F.least(x, "tile").alias("i"), F.greatest(x, "tile").alias("j")))
+    dealt = df.withColumn("tiles", F.ceil(tiles).cast("int")).withColumn("tile", tile).withColumn("c", F.explode(cells)).select("digest", key, "tile", "c.i", "c.j")
+    return dealt.join(texts, "digest").withColumn("block", F.pmod(F.xxhash64(key, "i", "j"), F.lit(blocks)))
 
 
 def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", tile: int = DENSE) -> DataFrame:
@@ -323,10 +338,10 @@ def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8, id_col: str = "
 
     Fingerprints that lie within a few bits miss most such pairs near 0.8, so texts are routed by 24 MinHash bands, of which a
     pair of 0.8 shares one with 0.9999 wherever its edits lie.  In each bucket the Gray-ordered index finds pairs whose
-    fingerprints of 256 bits differ in ``WIDE`` bits at most, a sketch drops those far below ``least``, and each link that
-    is left is verified on the sets of shingles themselves.  Pairs that the sketch holds for sure copies stand for each
-    other: of these a spanning forest is verified, and should one fail, its buckets are searched again without that.
-    Buckets of over ``tile`` texts are searched by pairs of tiles, so that none gathers in one task.
+    fingerprints of 256 bits differ in ``WIDE`` bits at most, and a sketch drops those far below ``least``.  What these
+    candidates connect is a cluster; it is searched once more, and every pair not yet connected is verified on the sets of
+    shingles themselves.  Buckets and clusters send on spanning forests, never their pairs.  Those of over ``tile`` texts
+    (clusters also: of over ``TILE_BYTES``) are searched by pairs of tiles, so that none gathers in one task.
 
     Texts of equal sets are one node, whatever their number; texts without words are equal.  Rows of one id with different
     texts are nodes of their own; rows of one id and text stay or go together.  ``keeper`` is the smallest id of the
@@ -334,6 +349,7 @@ def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8, id_col: str = "
     read in pieces, with the same result.  Empty input: no rows.  Other columns play no part, whatever their names.
     """
     tune(docs.sparkSession)
+    least_blocks = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     text = F.col(f"`{text_col}`").cast("binary")
     given = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("t"))
     each = materialize(given.mapInArrow(*_shingles.bands(k)), "bands")
@@ -350,27 +366,18 @@ def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8, id_col: str = "
     one = [F.first(c).alias(c) for c in ("n", "print", "sketch", "shingles")]  # of a text's repeated rows
     texts = materialize(texts.groupBy("digest").agg(*one), "details")
 
-    tiles = F.ceil(F.col("size") / tile).cast("int")
-    mine = F.pmod(F.xxhash64("digest", "bucket"), tiles).cast("int")
-    other = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda x: F.struct(F.least(x, "tile").alias("i"), F.greatest(x, "tile").alias("j")))
-    cells = members.withColumn("tiles", tiles).withColumn("tile", mine).withColumn("c", F.explode(other)).select("digest", "bucket", "tile", "c.i", "c.j")
-    blocks = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-members.count() // BLOCK_ROWS))
-    cells = cells.join(texts.drop("shingles"), "digest").withColumn("block", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(blocks)))
-    pairs = "u binary, v binary, sure boolean"
-
-    def verified(candidates: DataFrame) -> DataFrame:
-        side = lambda end, name: texts.select(F.col("digest").alias(end), F.col("shingles").alias(name))
-        return materialize(_shingles.similar(candidates.join(side("u", "x"), "u").join(side("v", "y"), "v"), least), "links")
-
-    candidates = cells.groupBy("block").applyInArrow(_search(least, WIDE, SLACK), pairs)
-    candidates = materialize(candidates.groupBy("u", "v").agg(F.max("sure").alias("sure")), "candidates")
-    found = verified(candidates)
-    failed = candidates.where("sure").join(found, ["u", "v"], "left_anti")
-    if failed.limit(1).count():
-        end = lambda name: failed.select("u", "v", F.col(name).alias("digest")).join(members.select("digest", "bucket"), "digest").drop("digest")
-        again = end("u").join(end("v"), ["u", "v", "bucket"], "left_semi").select("bucket").distinct()
-        more = cells.join(again, "bucket", "left_semi").groupBy("block").applyInArrow(_search(least, WIDE, float("inf")), pairs)
-        found = found.unionByName(verified(more.select("u", "v").distinct().join(candidates, ["u", "v"], "left_anti")))
+    cells = _tiled(members, "bucket", F.col("size") / tile, texts.drop("shingles"), max(least_blocks, -(-members.count() // BLOCK_TEXTS)))
+    candidates = cells.groupBy("block").applyInArrow(_linked(("bucket", "i", "j"), least, False), "u binary, v binary")
+    roots = components(candidates)
+    roots = materialize(roots.select(F.col("u").alias("digest"), "root").unionByName(roots.select(F.col("root").alias("digest"), "root").distinct()), "clusters")
+    size = F.col("n") * 8 + _shingles.PLACES
+    clusters = roots.join(texts.select("digest", size.alias("bytes")), "digest").groupBy("root").agg(F.count("*").alias("texts"), F.sum("bytes").alias("bytes"))
+    clusters = materialize(clusters.withColumn("cluster", F.xxhash64("root")).withColumn("met", F.col("texts")), "sizes")
+    whole = clusters.agg(F.sum("bytes"), F.sum("texts")).first()
+    mine = join_hot(roots, clusters, "root", whole[1] or 0, "met").drop("root")
+    tiles = F.greatest(F.col("texts") / tile, F.col("bytes") / TILE_BYTES)
+    cells = _tiled(mine, "cluster", tiles, texts, max(least_blocks, -(-(whole[0] or 0) // BLOCK_BYTES)))
+    found = materialize(cells.groupBy("block").applyInArrow(_linked(("cluster", "i", "j"), least, True), "u binary, v binary"), "links")
 
     roots = materialize(components(found).withColumnRenamed("u", "digest"), "roots")
     linked = roots.select("digest", "root").unionByName(roots.select(F.col("root").alias("digest"), "root").distinct())
