@@ -41,24 +41,28 @@ def noise_bounds(rows: DataFrame, key, value: str, bins: int = 20) -> DataFrame:
     return stat.join(h, keys).select(*keys, F.greatest(F.col("__a"), F.col("__m") - 3 * F.col("__s")).alias("low"), F.least(F.col("__b"), F.col("__m") + 3 * F.col("__s")).alias("high"))
 
 
-def saturated(rows: DataFrame, key, value: str, tolerance: float = 1e-8, rounds: int = 50) -> DataFrame:
+def saturated(rows: DataFrame, key, value: str, tolerance: float = 1e-8) -> DataFrame:
     """``rows`` with ``saturated``: rectified values over a threshold found by iteration, by key.
 
-    The threshold is the mean of the means above and below it, until it moves by less than the tolerance; each round is
-    one aggregate over the keys.
+    The threshold is the mean of the means above and below it, until it moves by less than the tolerance (which it comes to
+    after finitely many rounds, as the values it parts are finitely many); each round is one aggregate over the keys.
     """
     keys = _keys(key)
     a = F.abs(F.col(value))
     now = rows.groupBy(*keys).agg(F.avg(a).alias("thr"))
-    for _ in range(rounds):
+    held = None
+    while True:
         both = rows.join(now, keys)
-        new = both.groupBy(*keys, "thr").agg(F.avg(F.when(a > F.col("thr"), a)).alias("__h"), F.avg(F.when(a <= F.col("thr"), a)).alias("__l")).withColumn("__n", (F.coalesce("__h", "thr") + F.coalesce("__l", "thr")) / 2)
-        new = new.select(*keys, F.col("__n").alias("thr"), (F.abs(F.col("__n") - F.col("thr")) >= tolerance).alias("__moved")).checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else new.select(*keys, F.col("__n").alias("thr"), (F.abs(F.col("__n") - F.col("thr")) >= tolerance).alias("__moved")).persist()
+        new = both.groupBy(*keys, "thr").agg(F.avg(F.when(a > F.col("thr"), a)).alias("__h"), F.avg(F.when(a <= F.col("thr"), a)).alias("__l"))
+        new = new.withColumn("__n", (F.coalesce("__h", "thr") + F.coalesce("__l", "thr")) / 2)
+        new = new.select(*keys, F.col("__n").alias("thr"), (F.abs(F.col("__n") - F.col("thr")) >= tolerance).alias("__moved"))
+        new = new.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else new.persist()
         moved = new.where("__moved").limit(1).count()
-        now = new.drop("__moved")
+        if held is not None:
+            held.unpersist()
+        held, now = new, new.drop("__moved")
         if not moved:
-            break
-    return rows.join(now, keys).withColumn("saturated", a > F.col("thr")).drop("thr")
+            return rows.join(now, keys).withColumn("saturated", a > F.col("thr")).drop("thr")
 
 
 def mismatched_entries(left: DataFrame, right: DataFrame, key, order: str, code: str) -> DataFrame:

@@ -173,12 +173,25 @@ def target_events(events: DataFrame, key, order, target: str, on: Column, off: C
     return events.withColumn("shown", F.when(F.coalesce(state, F.lit(False)), F.col(location)))
 
 
+#: Codes that become one literal; a longer table is met by the distinct codes of the events first.
+LITERAL_CODES = 1000
+
+
 def decode_events(events: DataFrame, codes: DataFrame, code: str = "code") -> DataFrame:
-    """``event`` (the name with the largest base at most the code) and ``data`` (code less base); null above the largest base's code 255.
+    """``event`` (the name with the largest base at most the code) and ``data`` (code less base); null below the least base.
 
-    ``codes(name, base)`` is a configuration table of at most a few hundred rows; it becomes one array literal.
+    ``codes(name, base)`` is a configuration table of any length; of equal bases the last name counts.
     """
-    table = sorted((int(r["base"]), r["name"]) for r in codes.select("name", "base").limit(1000).collect())
-    bases = F.array(*[F.struct(F.lit(b).cast("long").alias("base"), F.lit(n).alias("name")) for b, n in table])
-    hit = F.array_max(F.filter(bases, lambda x: x["base"] <= F.col(code)))
-    return events.withColumn("__h", hit).withColumns({"event": F.col("__h.name"), "data": F.col(code) - F.col("__h.base")}).drop("__h")
+    table = [(int(r["base"]), r["name"]) for r in codes.select("name", "base").limit(LITERAL_CODES + 1).collect()]
+    if len(table) <= LITERAL_CODES:
+        bases = F.array(*[F.struct(F.lit(b).cast("long").alias("base"), F.lit(n).alias("name")) for b, n in sorted(table)])
+        hit = F.array_max(F.filter(bases, lambda x: x["base"] <= F.col(code)))
+        return events.withColumn("__h", hit).withColumns({"event": F.col("__h.name"), "data": F.col(code) - F.col("__h.base")}).drop("__h")
+    named = codes.groupBy(F.col("base").cast("long").alias("__c")).agg(F.max("name").alias("__n"))
+    seen = events.select(F.col(code).cast("long").alias("__c")).distinct().withColumn("__n", F.lit(None).cast("string"))
+    both = named.withColumn("__base", F.col("__c")).unionByName(seen.withColumn("__base", F.lit(None).cast("long")))
+    upto = Window.orderBy("__c", F.col("__base").isNull()).rowsBetween(Window.unboundedPreceding, 0)  # distinct codes only
+    last = F.last(F.when(F.col("__base").isNotNull(), F.struct("__base", "__n")), ignorenulls=True).over(upto)
+    known = both.withColumn("__h", last).where("__base is null").select("__c", "__h")
+    got = events.join(known, F.col(code) == F.col("__c"), "left")
+    return got.withColumns({"event": F.col("__h.__n"), "data": F.col(code) - F.col("__h.__base")}).drop("__c", "__h")

@@ -41,11 +41,12 @@ def filter_series(rows: DataFrame, key, order: str, value: str, b: np.ndarray, a
     """Zero-phase filter of each series, ``(key, order, value)``.
 
     Series longer than ``block`` samples are cut into blocks with a halo as long as the slowest pole needs to fade to
-    1e-14; rows in a halo are sent to both blocks, and blocks are separate tasks.
+    1e-14; rows in a halo are sent to both blocks, and blocks are separate tasks. A block is no shorter than its halo.
     """
     keys = _keys(key)
     pole = float(np.max(np.abs(np.roots(a)))) if len(a) > 1 else 0.0
-    halo = min(block, int(math.ceil(math.log(1e-14) / math.log(pole))) + 1 if 0 < pole < 1 else 8)
+    halo = int(math.ceil(math.log(1e-14) / math.log(pole))) + 1 if 0 < pole < 1 else 8
+    block = max(block, halo)
     n = F.floor(F.col(order) / block).cast("long")
     both = rows.select(*keys, order, value, F.explode(F.sequence(F.floor((F.col(order) - halo) / block).cast("long"), F.floor((F.col(order) + halo) / block).cast("long"))).alias("__b"))
     both = both.withColumn("__own", n == F.col("__b"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialspark.operators.segments import _keys
+from trialspark.workers import reachable
 
 
 def threshold(samples: DataFrame, key, value: str, high: bool = True, multiplier: float = 3.0) -> DataFrame:
@@ -38,20 +41,51 @@ def refractory_fast(spikes: DataFrame, key, t: str, period) -> DataFrame:
     return spikes.withColumn("__d", F.col(t) - F.lag(t).over(w)).where(F.col("__d").isNull() | (F.col("__d") > period)).drop("__d")
 
 
+def _next(times: np.ndarray, i: int, period) -> int:
+    """The first place after i whose time lies over a period later."""
+    low, high = i + 1, len(times)
+    while low < high:
+        mid = (low + high) // 2
+        if times[mid] - times[i] > period:
+            high = mid
+        else:
+            low = mid + 1
+    return low
+
+
+#: Spikes of a piece that is folded as an expression; a longer one is walked in an Arrow batch.
+SHORT_PIECE = 64
+
+
 def refractory(spikes: DataFrame, key, t: str, period) -> DataFrame:
     """Spikes more than a period after the last one *kept*: a sequential rule.
 
-    Trains are cut where a gap exceeds the period, since the spike after such a gap is kept whatever came before; each
-    piece is folded by itself, so no task holds a whole train.
+    Trains are cut where a gap exceeds the period, since the spike after such a gap is kept whatever came before.  Short
+    pieces are folded as expressions; in a long one each kept spike leads to the next by a binary search, so a piece of any
+    length costs its number of kept spikes.
     """
     keys = _keys(key)
-    w = Window.partitionBy(*keys).orderBy(t)
+    w = Window.partitionBy(*keys).orderBy("__t")
     x = spikes.select(*keys, F.col(t).alias("__t"))
-    x = x.withColumn("__new", F.coalesce(F.col("__t") - F.lag("__t").over(w.orderBy("__t")) > period, F.lit(True)).cast("int"))
-    x = x.withColumn("__piece", F.sum("__new").over(Window.partitionBy(*keys).orderBy("__t").rowsBetween(Window.unboundedPreceding, 0)))
-    piece = x.groupBy(*keys, "__piece").agg(F.sort_array(F.collect_list("__t")).alias("__l"))
+    x = x.withColumn("__new", F.coalesce(F.col("__t") - F.lag("__t").over(w) > period, F.lit(True)).cast("int"))
+    x = x.withColumn("__piece", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.withColumn("__n", F.count("*").over(Window.partitionBy(*keys, "__piece")))
+    piece = x.where(F.col("__n") <= SHORT_PIECE).groupBy(*keys, "__piece").agg(F.sort_array(F.collect_list("__t")).alias("__l"))
     kept = F.aggregate("__l", F.slice("__l", 1, 1), lambda acc, v: F.when(v - F.element_at(acc, -1) > period, F.concat(acc, F.array(v))).otherwise(acc))
-    return piece.select(*keys, F.explode(kept).alias(t))
+    short = piece.select(*keys, F.explode(kept).alias(t))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in short.schema.fields)
+
+    def walk(table: pa.Table) -> pa.Table:
+        table = table.sort_by("__t")
+        times = table["__t"].to_numpy()
+        at, i = [], 0
+        while i < len(times):
+            at.append(i)
+            i = _next(times, i, period)
+        return table.take(pa.array(at, pa.int64())).select([*keys, "__t"]).rename_columns([*keys, t])
+
+    long = reachable(x).where(F.col("__n") > SHORT_PIECE).select(*keys, "__piece", "__t").groupBy(*keys, "__piece").applyInArrow(walk, kinds)
+    return short.unionByName(long)
 
 
 def bin_spikes(samples: DataFrame, key, order: str, value: str, samplerate: float, width: float) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trialspark.operators import figures, latency, stats
 from trialspark.plans.tables import D_SQL, P_SQL, S_SQL, dims, pairs, samples, table
-from trialspark.plans.stats_queries import ACC, ACC_ALL
+from trialspark.plans.stats_queries import ACC_ALL
 
 QUERIES, SQL = {}, {}
 
@@ -55,16 +55,6 @@ def mean_waveform(spark, sf):
     return m.select("label", F.col("k").cast("long").alias("k"), F.round("mean", 7).alias("mean"), F.round("std", 7).alias("std"), "n")
 
 
-@query(f"""WITH {D_SQL}, m AS (SELECT label, k, avg(v) AS v FROM d WHERE label < 5 GROUP BY ALL), r AS (SELECT *, rank() OVER (PARTITION BY label ORDER BY v) + (count(*) OVER (PARTITION BY label, v) - 1) / 2.0 AS r FROM m),
-c AS (SELECT a.label AS a, b.label AS b, abs(corr(a.r, b.r)) AS r FROM r a JOIN r b ON a.k = b.k AND a.label < b.label GROUP BY ALL), {P_SQL}, g AS (SELECT label, avg(x) AS x, avg(y) AS y FROM p GROUP BY 1),
-e AS (SELECT r, sqrt((g.x - h.x) * (g.x - h.x) + (g.y - h.y) * (g.y - h.y)) AS d FROM c JOIN g ON c.a = g.label JOIN g h ON c.b = h.label)
-SELECT CAST(least(floor(d / 0.1), 9) AS INTEGER) AS bin, count(*) AS n, round(avg(r), 6) AS r, (CAST(least(floor(d / 0.1), 9) AS INTEGER) + 0.5::DOUBLE) * 0.1::DOUBLE AS center FROM e WHERE d > 0 AND d <= 1 GROUP BY ALL""")
-def correlation_over_distance(spark, sf):
-    m = dims(spark, sf).where("label < 5").groupBy("label", "k").agg(F.avg("v").alias("v")).withColumn("one", F.lit(1))
-    places = pairs(spark, sf).groupBy("label").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
-    return stats.correlation_over_distance(m, places, "one", "label", "k", "v", 10).drop("one").withColumn("r", F.round("r", 6))
-
-
 @query(f"""WITH {D_SQL}, m AS (SELECT label, k, avg(v) AS v FROM d GROUP BY ALL), r AS (SELECT *, rank() OVER (PARTITION BY label ORDER BY v) + (count(*) OVER (PARTITION BY label, v) - 1) / 2.0 AS r FROM m),
 c AS (SELECT a.label AS a, b.label AS b, abs(corr(a.r, b.r)) AS r FROM r a JOIN r b ON a.k = b.k AND a.label < b.label GROUP BY ALL), {P_SQL}, g AS (SELECT label, avg(x) AS x, avg(y) AS y FROM p GROUP BY 1),
 e AS (SELECT r, sqrt((g.x - h.x) * (g.x - h.x) + (g.y - h.y) * (g.y - h.y)) AS d FROM c JOIN g ON c.a = g.label JOIN g h ON c.b = h.label)
@@ -81,14 +71,6 @@ def distance_matrix(spark, sf):
     return stats.distances(places, "one", "label", "x", "y").drop("one").withColumn("distance", F.round("distance", 6))
 
 
-@query(f"""{ACC}, h AS (SELECT vec_id, alt, level, min(CASE WHEN accllr >= level THEN k END) AS u, min(CASE WHEN accllr <= -level THEN k END) AS d FROM acc, (SELECT unnest([0.5, 1.0, 2.0, 4.0])::DOUBLE AS level) GROUP BY ALL),
-s AS (SELECT *, u IS NOT NULL AND (d IS NULL OR u < d) AS up FROM h), gains AS (SELECT level, avg(CASE WHEN alt THEN CAST(up AS DOUBLE) END) - avg(CASE WHEN NOT alt THEN CAST(up AS DOUBLE) END) AS gain FROM s GROUP BY 1), b AS (SELECT level FROM gains ORDER BY gain DESC, level LIMIT 1)
-SELECT vec_id, s.level, u / 1000.0::DOUBLE AS latency FROM s JOIN b ON s.level = b.level WHERE alt AND up""")
-def accllr_latency(spark, sf):
-    x = dims(spark, sf).where(F.col("label").isin(0, 1, 5, 6)).withColumns({"alt": F.col("label") < 5, "channel": F.lit(1)})
-    return latency.accllr_latency(x, "channel", "vec_id", "k", "v", "alt", [0.5, 1.0, 2.0, 4.0], 1000.0).drop("channel")
-
-
 @query(f"""{ACC_ALL}, h AS (SELECT vec_id, alt, level, min(CASE WHEN accllr >= level THEN k END) AS u, min(CASE WHEN accllr <= -level THEN k END) AS d FROM acc, (SELECT unnest([0.5, 1.0, 2.0, 4.0])::DOUBLE AS level) GROUP BY ALL),
 s AS (SELECT *, u IS NOT NULL AND (d IS NULL OR u < d) AS up FROM h), gains AS (SELECT level, avg(CASE WHEN alt THEN CAST(up AS DOUBLE) END) - avg(CASE WHEN NOT alt THEN CAST(up AS DOUBLE) END) AS gain FROM s GROUP BY 1), b AS (SELECT level FROM gains ORDER BY gain DESC, level LIMIT 1)
 SELECT vec_id, s.level, u / 1000.0::DOUBLE AS latency FROM s JOIN b ON s.level = b.level WHERE alt AND up""")

@@ -152,12 +152,6 @@ def noise_bounds(spark, sf):
     return quality.noise_bounds(table(spark, sf, "lineitem"), "l_returnflag", "l_quantity").select("l_returnflag", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
-@query(f"""WITH {D_SQL} SELECT label, round(avg(v), 7) AS power FROM d WHERE k >= 8 AND k < 24 AND vec_id >= 10 AND vec_id < 400 GROUP BY 1""")
-def tfr_mean(spark, sf):
-    d = dims(spark, sf).select("label", F.col("k").cast("double").alias("f"), F.col("vec_id").cast("double").alias("t"), F.col("v").alias("power"))
-    return signal.tfr_mean(d, "label", (8, 24), (10, 400)).withColumn("power", F.round("power", 7))
-
-
 @query(f"""WITH {D_SQL} SELECT label, round(avg(v), 7) AS power FROM d WHERE k >= 8 AND k < 24 GROUP BY 1""")
 def tfr_mean_all(spark, sf):
     d = dims(spark, sf).select("label", F.col("k").cast("double").alias("f"), F.col("vec_id").cast("double").alias("t"), F.col("v").alias("power"))

@@ -113,12 +113,6 @@ def confidence_interval(spark, sf):
     return rounded(stats.confidence_interval(table(spark, sf, "lineitem"), "l_returnflag", "l_quantity", 25), "low", "high")
 
 
-@query(f"""WITH {D_SQL}, b AS (SELECT vec_id, avg(v) AS b FROM d WHERE k < 16 GROUP BY 1) SELECT d.vec_id, d.k, round(v - b, 6) AS value FROM d JOIN b ON d.vec_id = b.vec_id WHERE d.vec_id % 10 = 0""")
-def erp_baseline(spark, sf):
-    d = dims(spark, sf).where("vec_id % 10 = 0")  # the report's units
-    return rounded(stats.baseline(d, "vec_id", "k", "v", 0, 16).select("vec_id", F.col("k").cast("long").alias("k"), "value"), "value")
-
-
 @query(f"""WITH {D_SQL}, b AS (SELECT vec_id, avg(v) AS b FROM d WHERE k < 16 GROUP BY 1) SELECT d.vec_id, d.k, round(v - b, 6) AS value FROM d JOIN b ON d.vec_id = b.vec_id""")
 def erp_baseline_all(spark, sf):
     return rounded(stats.baseline(dims(spark, sf), "vec_id", "k", "v", 0, 16).select("vec_id", F.col("k").cast("long").alias("k"), "value"), "value")
@@ -232,14 +226,6 @@ def angle_bins(spark, sf):
     return p.select("vec_id", geo.digitize_by_angle("a").alias("angle_bin"), F.round(geo.vector_angle("a"), 6).alias("angle"), F.round(r[0], 6).alias("along"))
 
 
-@query("""WITH a AS (SELECT vec_id, embedding[1:8] AS a, embedding[9:16] AS b FROM embeddings), c AS (SELECT vec_id, list_transform(a, lambda x: CAST(x AS DOUBLE)) AS a, list_transform(b, lambda x: CAST(x AS DOUBLE)) AS b FROM a)
-SELECT vec_id, round(acos(greatest(-1.0, least(1.0, list_inner_product(a, b) / sqrt(list_inner_product(a, a)) / sqrt(list_inner_product(b, b))))), 6) AS angle, round(sqrt(list_sum(list_transform(list_zip(a, b), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) AS distance, round(sqrt(list_inner_product(a, a)), 6) AS radius FROM c""")
-def vector_geometry(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    e = e.select("vec_id", F.slice("e", 1, 8).alias("a"), F.slice("e", 9, 8).alias("b"))
-    return e.select("vec_id", F.round(geo.angle_between("a", "b"), 6).alias("angle"), F.round(geo.distance("a", "b"), 6).alias("distance"), F.round(geo.radial_distance("a"), 6).alias("radius"))
-
-
 @query("""WITH a AS (SELECT vec_id, embedding[1:len(embedding) // 2] AS a, embedding[len(embedding) // 2 + 1:] AS b FROM embeddings), c AS (SELECT vec_id, list_transform(a, lambda x: CAST(x AS DOUBLE)) AS a, list_transform(b, lambda x: CAST(x AS DOUBLE)) AS b FROM a)
 SELECT vec_id, round(acos(greatest(-1.0, least(1.0, list_inner_product(a, b) / sqrt(list_inner_product(a, a)) / sqrt(list_inner_product(b, b))))), 6) AS angle, round(sqrt(list_sum(list_transform(list_zip(a, b), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) AS distance, round(sqrt(list_inner_product(a, a)), 6) AS radius FROM c""")
 def vector_geometry_halves(spark, sf):
@@ -254,33 +240,12 @@ def scalar_expressions(spark, sf):
     return c.select("c_custkey", F.round(geo.logistic_scale("c_acctbal", (F.col("c_custkey") % 20) / 100.0), 4).alias("scaled"), geo.nextpow2("c_custkey").alias("p2"))
 
 
-ACC = f"""WITH {D_SQL}, x AS (SELECT vec_id, k, v, label < 5 AS alt FROM d WHERE label IN (0, 1, 5, 6)), c AS (SELECT alt, k, sum(v) AS s, count(*) AS n FROM x GROUP BY ALL),
+ACC_ALL = f"""WITH {D_SQL}, x AS (SELECT vec_id, k, v, label < 5 AS alt FROM d), c AS (SELECT alt, k, sum(v) AS s, count(*) AS n FROM x GROUP BY ALL),
 o AS (SELECT x.*, (s - v) / (n - 1) AS own, v - s / n AS r, (SELECT c2.s / c2.n FROM c c2 WHERE c2.k = x.k AND c2.alt = NOT x.alt) AS other FROM x JOIN c ON x.alt = c.alt AND x.k = c.k), g AS (SELECT stddev_samp(r) AS sg FROM o),
 l AS (SELECT vec_id, k, alt, (CASE WHEN alt THEN -(v - own) * (v - own) + (v - other) * (v - other) ELSE -(v - other) * (v - other) + (v - own) * (v - own) END) / (2 * sg * sg) AS llr FROM o, g),
 acc AS (SELECT vec_id, k, alt, sum(llr) OVER (PARTITION BY vec_id ORDER BY k) AS accllr FROM l)"""
 
 
-def _acc(spark, sf):
-    x = dims(spark, sf).where(F.col("label").isin(0, 1, 5, 6)).withColumns({"alt": F.col("label") < 5, "channel": F.lit(1)})
-    return latency.accllr(x, "channel", "vec_id", "k", "v", "alt")
-
-
-@query(f"{ACC} SELECT vec_id, k, alt, round(accllr, 5) AS accllr FROM acc")
-def accllr_cumulative(spark, sf):
-    return _acc(spark, sf).select("vec_id", F.col("k").cast("long").alias("k"), "alt", F.round("accllr", 5).alias("accllr"))
-
-
-@query(f"""{ACC}, h AS (SELECT vec_id, alt, level, min(CASE WHEN accllr >= level THEN k END) AS u, min(CASE WHEN accllr <= -level THEN k END) AS d FROM acc, (SELECT unnest([0.5, 1.0, 2.0, 4.0])::DOUBLE AS level) GROUP BY ALL)
-SELECT vec_id, level, CASE WHEN u IS NOT NULL AND (d IS NULL OR u < d) THEN 1 WHEN d IS NOT NULL AND (u IS NULL OR d < u) THEN -1 ELSE 0 END AS side, CASE WHEN u IS NOT NULL AND (d IS NULL OR u < d) THEN u WHEN d IS NOT NULL AND (u IS NULL OR d < u) THEN d END AS at FROM h""")
-def accllr_levels(spark, sf):
-    got = latency.detect(_acc(spark, sf), "channel", "vec_id", "k", "accllr", [0.5, 1.0, 2.0, 4.0])
-    return got.select("vec_id", "level", "side", F.col("at").cast("long").alias("at"))
-
-
-#: The same over all labels.
-ACC_ALL = ACC.replace(" WHERE label IN (0, 1, 5, 6)", "")
-
-
 def _acc_all(spark, sf):
     x = dims(spark, sf).withColumns({"alt": F.col("label") < 5, "channel": F.lit(1)})
     return latency.accllr(x, "channel", "vec_id", "k", "v", "alt")
@@ -298,10 +263,10 @@ def accllr_levels_all(spark, sf):
     return got.select("vec_id", "level", "side", F.col("at").cast("long").alias("at"))
 
 
-@query(f"""WITH {D_SQL}, b AS (SELECT k, avg(v) AS m, stddev_pop(v) AS s FROM d WHERE label = 0 GROUP BY 1), z AS (SELECT vec_id, d.k, abs(v - m) > 2.0 * s AS o FROM d JOIN b ON d.k = b.k WHERE label = 1) SELECT vec_id, min(CASE WHEN o THEN k END) AS first FROM z GROUP BY 1""")
+@query(f"""WITH {D_SQL}, b AS (SELECT k, avg(v) AS m, stddev_pop(v) AS s FROM d WHERE label = 0 GROUP BY 1), z AS (SELECT vec_id, d.k, abs(v - m) > 2.0 * s AS o FROM d JOIN b ON d.k = b.k WHERE label <> 0) SELECT vec_id, min(CASE WHEN o THEN k END) AS first FROM z GROUP BY 1""")
 def erp_response(spark, sf):
     d = dims(spark, sf)
-    got = latency.first_deviation(d.where("label = 1"), d.where("label = 0"), "k", "vec_id", "k", "v", 1.0, 2.0)
+    got = latency.first_deviation(d.where("label <> 0"), d.where("label = 0"), "k", "vec_id", "k", "v", 1.0, 2.0)
     return got.groupBy("vec_id").agg(F.min("latency").cast("long").alias("first"))
 
 
