@@ -10,7 +10,7 @@ from trialspark.llm._session import materialize
 #: Keys that may be joined by broadcast, at most.
 MOST_HOT = 100_000
 #: No key of fewer rows is.
-LEAST_HOT = 1000
+LEAST_HOT = 100
 
 
 def hot_limit(rows: int) -> int:

@@ -156,8 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, good: str = "quality = 1 and toxic =
     if len(y) == 0 or y.min() == y.max():
         return none
     lists = [np.frombuffer(x, "<u4") for x in got.terms]
-    terms, bad = np.unique(np.concatenate([x for x, g in zip(lists, y, strict=True) if not g]), return_counts=True)
-    in_good, n = np.unique(np.concatenate([x for x, g in zip(lists, y, strict=True) if g]), return_counts=True)
+    terms, bad = _counts([x for x, g in zip(lists, y, strict=True) if not g])
+    in_good, n = _counts([x for x, g in zip(lists, y, strict=True) if g])
     at = np.minimum(np.searchsorted(in_good, terms), len(in_good) - 1)
     fine = np.where(in_good[at] == terms, n[at], 0) if len(in_good) else np.zeros(len(terms), int)
     del in_good, n, at
@@ -173,10 +173,21 @@ def fit(docs: DataFrame, labels: DataFrame, good: str = "quality = 1 and toxic =
         k = k[marks[k] == t] if m else k[:0]
         columns.append(np.concatenate([k, [m + strong_bin(strong[k].sum())], m + len(STRONG_EDGES) + 1 + np.frombuffer(s, "<i4")]))
     del got, lists
+    trim()
     w, bias = _logistic(columns, m + len(STRONG_EDGES) + 1 + _share_columns(), y)
     return Model(marks, strong, w[:m], w[m : m + len(STRONG_EDGES) + 1], w[m + len(STRONG_EDGES) + 1 :], bias)
 
 
+def _counts(lists: list[np.ndarray], step: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of all lists, in order, and in how many lists each is; some lists at a time, to save memory."""
+    values, n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    for i in range(0, len(lists), step):
+        more, m = np.unique(np.concatenate(lists[i : i + step]), return_counts=True)
+        values, at = np.unique(np.concatenate([values, more]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([n, m]), len(values)).astype(np.int64)
+    return values, n
+
+
 def _logistic(columns: list[np.ndarray], width: int, y: np.ndarray, rounds: int = 600, rate: float = 0.1, decay: float = 2e-5) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on all rows (each the list of its columns that are 1), with quadratic decay; deterministic."""
     at = np.concatenate(columns)
