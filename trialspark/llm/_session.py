@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ARROW_ROWS = 2000
+#: Bytes that a writer of an intermediate gathers in the heap.
+ROW_GROUP = 16 << 20
 
 
 def tune(spark: SparkSession) -> None:
@@ -61,7 +63,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors, frees shuffle files."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     schema = df.schema
     del df
     gc.collect()

@@ -10,7 +10,7 @@ from trialspark.llm._session import materialize
 #: Keys that may be joined by broadcast, at most.
 MOST_HOT = 100_000
 #: No key of fewer rows is.
-LEAST_HOT = 100
+LEAST_HOT = 300
 
 
 def hot_limit(rows: int) -> int:
@@ -18,16 +18,17 @@ def hot_limit(rows: int) -> int:
     return max(LEAST_HOT, rows // MOST_HOT)
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, rows: int, count: str | None = None) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str, rows: int, count: str) -> DataFrame:
     """``left.join(right, key)``, where ``right`` has one row a key and ``left`` has ``rows`` rows, of which any part may share a key.
 
-    The rows of ``right`` that meet over ``hot_limit(rows)`` rows are broadcast, so that these rows of ``left`` stay where
-    they are.  ``count``: the column of ``right`` that says how many rows of ``left`` it meets (it isn't returned);
-    without it they are counted.
+    The rows of ``right`` that meet over ``hot_limit(rows)`` rows (its column ``count`` says how many it meets; it isn't
+    returned) are broadcast, so that these rows of ``left`` stay where they are.  A first job asks whether there are any,
+    as the plan without them is far smaller.
     """
-    counts = right.select(key, F.col(count).alias("__n")) if count else left.groupBy(key).agg(F.count("*").alias("__n"))
-    hot = counts.where(F.col("__n") > hot_limit(rows)).select(key, F.lit(True).alias("__hot"))
-    right = right.drop(count) if count else right
+    hot = right.where(F.col(count) > hot_limit(rows)).select(key, F.lit(True).alias("__hot"))
+    some, right = right.agg(F.max(count)).first()[0] or 0, right.drop(count)
+    if some <= hot_limit(rows):
+        return left.join(right, key)
     some = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
     marked = left.join(F.broadcast(hot), key, "left")
     rest = marked.where("__hot is null").drop("__hot").join(right, key)
