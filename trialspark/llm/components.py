@@ -23,12 +23,12 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, rows: int, count: str)
 
     The rows of ``right`` that meet over ``hot_limit(rows)`` rows (its column ``count`` says how many it meets; it isn't
     returned) are broadcast, so that these rows of ``left`` stay where they are.  A first job asks whether there are any,
-    as the plan without them is far smaller.
+    as the plan without them is far smaller; the plan with them uses ``right`` four times, so it is written first.
     """
-    hot = right.where(F.col(count) > hot_limit(rows)).select(key, F.lit(True).alias("__hot"))
-    some, right = right.agg(F.max(count)).first()[0] or 0, right.drop(count)
-    if some <= hot_limit(rows):
-        return left.join(right, key)
+    if (right.agg(F.max(count)).first()[0] or 0) <= hot_limit(rows):
+        return left.join(right.drop(count), key)
+    right = materialize(right, "keys")
+    hot, right = right.where(F.col(count) > hot_limit(rows)).select(key, F.lit(True).alias("__hot")), right.drop(count)
     some = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
     marked = left.join(F.broadcast(hot), key, "left")
     rest = marked.where("__hot is null").drop("__hot").join(right, key)

@@ -269,7 +269,7 @@ def simhash_components(docs: DataFrame, k: int = 3, radius: int = 3, id_col: str
     each = materialize(fingerprints(docs, k, id_col, text_col).drop("others"), "fingerprints")
     nodes = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows")), "nodes")
     roots = components(links(nodes, radius, dense)).withColumnRenamed("u", "fp")
-    placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = materialize(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "placed")
     ids = placed.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("fps"))
     known = join_hot(placed.select("fp", "root", "rows"), ids, "root", nodes.count(), "fps").select("fp", "component_id", "rows")
     return join_hot(each, known, "fp", each.count(), "rows").select("doc_id", "fp", "component_id")
@@ -385,7 +385,8 @@ def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8, id_col: str = "
 
     roots = materialize(components(found).withColumnRenamed("u", "digest"), "roots")
     linked = roots.select("digest", "root").unionByName(roots.select(F.col("root").alias("digest"), "root").distinct())
-    placed = nodes.select("digest", "low", "rows").join(linked, "digest", "left").where("root is not null or rows > 1").withColumn("root", F.coalesce("root", "digest"))
+    placed = nodes.select("digest", "low", "rows").join(linked, "digest", "left").where("root is not null or rows > 1")
+    placed = materialize(placed.withColumn("root", F.coalesce("root", "digest")), "placed")
     keeper = placed.groupBy("root").agg(F.min("low").alias("keeper"), F.count("*").alias("texts"))
     known = join_hot(placed.select("digest", "root", "rows"), keeper, "root", count, "texts").select("digest", "keeper", "rows")
     rows = join_hot(each.select("digest", "doc_id", "th"), known, "digest", each.count(), "rows")
