@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ARROW_ROWS = 2000
+#: Bytes of an Arrow batch, but for a single larger row.
+ARROW_BYTES = 4 << 20
 #: Bytes that a writer of an intermediate gathers in the heap.
 ROW_GROUP = 16 << 20
 
@@ -29,6 +31,7 @@ def tune(spark: SparkSession) -> None:
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 @cache
@@ -46,6 +49,16 @@ def trim() -> None:
         c.malloc_trim(0)
 
 
+def trimming(make):
+    """``make`` of a task's batches, after the last of which the worker, idle from then on, gives its memory back."""
+
+    def run(batches):
+        yield from make(batches)
+        trim()
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests) a folder made here."""
     path = spark.conf.get("spark.checkpoint.dir", None)

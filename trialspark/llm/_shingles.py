@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from trialspark.llm._session import trim
+from trialspark.llm._session import trim, trimming
 from trialspark.llm._text import BYTE_HASH, Prefix, U, buffers, mix, pieces_of, spans_of_rows, words
 
 #: Bytes of text that are read at once.
@@ -90,7 +90,7 @@ def bands(k: int):
                 columns = [batch.column(0).slice(a, len(n)), batch.column(1).slice(a, len(n)), pa.array(digests(h, n), pa.binary()), pa.array(n.astype(np.int64)), lists]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "digest", "n", "bands"])
 
-    return make, "doc_id long, th long, digest binary, n long, bands array<long>"
+    return trimming(make), "doc_id long, th long, digest binary, n long, bands array<long>"
 
 
 def prints(h: np.ndarray, n: np.ndarray, words: int) -> np.ndarray:
@@ -130,4 +130,4 @@ def details(k: int, words: int):
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["digest", "n", "print", "sketch", "shingles"])
 
-    return make, "digest binary, n long, print binary, sketch binary, shingles binary"
+    return trimming(make), "digest binary, n long, print binary, sketch binary, shingles binary"

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialspark.llm._session import trim, tune, without
+from trialspark.llm._session import trim, trimming, tune, without
 from trialspark.llm._text import buffers, spans_of_rows
 
 SLICE = 1 << 20
@@ -352,7 +352,7 @@ def _run(docs: DataFrame, column: str, names: list[str], make) -> DataFrame:
                 made = make(part.column(column))
                 yield pa.RecordBatch.from_arrays([part.column(f.name) for f in plain] + [pa.array(made[n], t) for n, _, t in outs], [f.name for f in plain] + [n for n, _, _ in outs])
 
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(trimming(work), schema)
 
 
 def encode(docs: DataFrame, ranks_path: str, text_col: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm._session import trim, tune, without
+from trialspark.llm._session import trim, trimming, tune, without
 from trialspark.llm._text import U, buffers, mix, pieces_of, spans_of_rows
 
 BINS = 1 << 15
@@ -172,7 +172,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoot
                 yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([s], pa.int32()), pa.array([salt], pa.int32()), pa.array([seen[lang] if s == 0 else 0]), pa.array([table[s * step : (s + 1) * step].tolist()], pa.list_(pa.int64()))], ["lang", "part", "salt", "docs", "counts"])
 
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("lang"))
-    parts = rows.mapInArrow(count, "lang string, part int, salt int, docs long, counts array<long>")
+    parts = rows.mapInArrow(trimming(count), "lang string, part int, salt int, docs long, counts array<long>")
 
     def add(table: pa.Table) -> pa.Table:
         total = np.sum([np.asarray(x) for x in table["counts"].to_pylist()], axis=0)
@@ -215,7 +215,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 langs, score = held.value.predict(data[off[0] : off[-1]], off - off[0])
                 yield pa.RecordBatch.from_arrays([part.column(f.name) for f in plain] + [pa.array(langs, pa.string()), pa.array(score)], [f.name for f in plain] + ["lang_pred", "score"])
 
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(trimming(work), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialspark.llm._session import tune, without
+from trialspark.llm._session import trimming, tune, without
 from trialspark.llm._text import buffers, spans_of_rows
 
 SLICE = 1 << 20
@@ -260,7 +260,7 @@ def _map(docs: DataFrame, column: str, outs: list[tuple[str, str, pa.DataType]],
                 made = [make(x.as_buffer().to_pybytes() if x.is_valid else None) for x in part.column(column)]
                 yield pa.RecordBatch.from_arrays([part.column(f.name) for f in plain] + [pa.array(x, t) for x, (_, _, t) in zip(zip(*made, strict=True), outs, strict=True)], [f.name for f in plain] + [n for n, _, _ in outs])
 
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(trimming(work), schema)
 
 
 def to_media(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialspark.llm._session import materialize, trim, tune, without
+from trialspark.llm._session import materialize, trim, trimming, tune, without
 from trialspark.llm._text import BYTE_HASH, Prefix, U, buffers, mix, spans_of_rows, words
 
 SLICE = 1 << 19
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, good: str = "quality = 1 and toxic =
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").cast("binary").alias("t")).where("t is not null")
     one = rows.join(F.broadcast(chosen), "__id").groupBy("__id").agg(F.min_by("t", F.xxhash64("t")).alias("t"), F.first("__y").alias("y"))
-    got = one.select("t", "y").mapInArrow(make, "y int, terms binary, shares binary").toPandas()  # ``most`` rows
+    got = one.select("t", "y").mapInArrow(trimming(make), "y int, terms binary, shares binary").toPandas()  # ``most`` rows
     y = got.y.to_numpy(np.float64)
     none = Model(np.zeros(0, np.uint32), np.zeros(0), np.zeros(0), np.zeros(len(STRONG_EDGES) + 1), np.zeros(_share_columns()), float(np.log((y.sum() + 1) / ((1 - y).sum() + 1))))
     if len(y) == 0 or y.min() == y.max():
@@ -223,7 +223,7 @@ def evidence(docs: DataFrame, model: Model, text_col: str = "text", drop: bool =
                 data, off = buffers(part.column(text_col))
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(held.value.logits(data[off[0] : off[-1]], off - off[0]))], [*names, "__logit"])
 
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(trimming(work), schema)
 
 
 def _strength(row, between: str, units: str) -> float:

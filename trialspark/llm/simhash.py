@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialspark.llm import _shingles
-from trialspark.llm._session import materialize, trim, tune
+from trialspark.llm._session import materialize, trim, trimming, tune
 from trialspark.llm._text import U, mix, pieces_of
 from trialspark.llm.components import components, join_hot
 
@@ -91,7 +91,7 @@ def fingerprints(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col:
             off = pa.array(np.arange(len(fps) + 1, dtype=np.int32) * (prints - 1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.ascontiguousarray(fps[:, 0])), pa.ListArray.from_arrays(off, pa.array(fps[:, 1:].ravel()))], ["doc_id", "fp", "others"])
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("t")).mapInArrow(make, "doc_id long, fp long, others array<long>")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("t")).mapInArrow(trimming(make), "doc_id long, fp long, others array<long>")
 
 
 def gray_rank(bits: np.ndarray) -> np.ndarray:
