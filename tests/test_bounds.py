@@ -94,6 +94,20 @@ def test_erp_window_and_peaks(spark):
         trialdata.erp(s, t, "u", "t", "v", 0, 5, 1)
 
 
+def test_mean_peaks_that_tie_but_for_rounding(spark):
+    rows, triggers = [], []
+    for u in range(60):
+        r = random.Random(u)
+        a = [r.randrange(1, 9999) for _ in range(7)]
+        late = r.sample(a, 7)  # the same responses in another order: equal means at both samples after the trigger
+        cents = [x for p, q in zip(a, late) for x in (33, 33, p, q, 0)]
+        rows += [(u, i, c / 100) for i, c in enumerate([*cents, 0, 0])]
+        triggers += [(u, 5.0 * i + 2) for i in range(7)]
+    s = spark.createDataFrame(rows, "u int, i long, v double")
+    got = trialdata.max_erp(s, spark.createDataFrame(triggers, "u int, t double"), "u", "t", "v", 2, 3, 1).collect()
+    assert [r.at for r in got] == [2] * 60
+
+
 def test_kinematic_data_filters_the_whole_recording(spark):
     s = spark.createDataFrame([("a", i, math.sin(i / 9), math.cos(i / 9)) for i in range(400)], "u string, i long, x double, y double")
     t = spark.createDataFrame([("a", 0.5, 1.5)], "u string, s double, e double")

@@ -149,10 +149,18 @@ def baseline(rows: DataFrame, key, t: str, value: str, t0: float, t1: float, nam
     return rows.join(mean, keys, "left").withColumn(name, F.col(value) - F.col("__b")).drop("__b")
 
 
-def max_erp(rows: DataFrame, key, t: str, value: str, t0: float, t1: float) -> DataFrame:
-    """``(key, peak, at)``: the signed value of largest size within [t0, t1), the earliest on ties."""
+def max_erp(rows: DataFrame, key, t: str, value: str, t0: float, t1: float, scale: str | None = None) -> DataFrame:
+    """``(key, peak, at)``: the signed value of largest size within [t0, t1), the earliest on ties.
+
+    ``scale``: a column with the size of what went into a computed value; sizes closer than 1e-12 of it are ties, as they differ by rounding only.
+    """
     x = rows.where((F.col(t) >= t0) & (F.col(t) < t1) & _value(value).isNotNull())
-    best = F.max_by(F.struct(F.col(value).alias("peak"), F.col(t).alias("at")), F.struct(F.abs(F.col(value)), -F.col(t)))
+    size = F.abs(F.col(value))
+    if scale is not None:
+        w = Window.partitionBy(*_keys(key))
+        x = x.withColumns({"__m": F.max(size).over(w), "__e": F.max(scale).over(w)})
+        size = F.when(size >= F.col("__m") - 1e-12 * F.col("__e"), F.col("__m")).otherwise(size)
+    best = F.max_by(F.struct(F.col(value).alias("peak"), F.col(t).alias("at")), F.struct(size, -F.col(t)))
     return x.groupBy(*_keys(key)).agg(best.alias("b")).select(*_keys(key), "b.*")
 
 

@@ -43,9 +43,14 @@ def kinematic_data(samples: DataFrame, trials: DataFrame, key, start: str, end:
 
 def erp(samples: DataFrame, triggers: DataFrame, key, trigger: str, value: str, before: float, after: float, samplerate: float, subtract: bool = True, window: tuple[float, float] | None = None, sample: str = "i") -> DataFrame:
     """Responses to triggers, a row for each sample ``k`` of each, less their mean over ``window`` (seconds from the first sample; default: all before the trigger)."""
+    return _erp(samples, triggers, key, trigger, value, before, after, samplerate, subtract, window, sample).drop("__raw")
+
+
+def _erp(samples, triggers, key, trigger, value, before, after, samplerate, subtract=True, window=None, sample="i") -> DataFrame:
+    """``erp`` with the samples as they were (``__raw``)."""
     if subtract and before <= 0:
         raise ValueError("a baseline needs time before the trigger")
-    got = segments.trial_align_data(samples, triggers, key, trigger, value, before, after, samplerate, sample)
+    got = segments.trial_align_data(samples, triggers, key, trigger, value, before, after, samplerate, sample).withColumn("__raw", F.col(value))
     if not subtract:
         return got
     a, b = window or (0.0, before)
@@ -55,14 +60,17 @@ def erp(samples: DataFrame, triggers: DataFrame, key, trigger: str, value: str,
 
 
 def max_erp(samples: DataFrame, triggers: DataFrame, key, trigger: str, value: str, before: float, after: float, samplerate: float, search: tuple[float, float] | None = None, average: bool = True, **settings) -> DataFrame:
-    """``(key, peak, at)``: the value of largest size (with its sign) of the mean response over triggers, or of each, within ``search`` seconds after the trigger."""
+    """``(key, peak, at)``: the value of largest size (with its sign) of the mean response over triggers, or of each, within ``search`` seconds after the trigger.
+
+    The earliest on ties: a mean is a sum in no fixed order, so sizes that differ by rounding only are one.
+    """
     keys = [*_keys(key)] if average else [*_keys(key), trigger]
-    rows = erp(samples, triggers, key, trigger, value, before, after, samplerate, **settings)
-    if average:
-        rows = rows.groupBy(*keys, "k").agg(F.avg(value).alias(value))
+    rows = _erp(samples, triggers, key, trigger, value, before, after, samplerate, **settings)
+    size = F.abs("__raw") + F.abs(F.col("__raw") - F.col(value))  # of the sample and of its baseline
+    rows = rows.groupBy(*keys, "k").agg(F.avg(value).alias(value), F.avg(size).alias("__size")) if average else rows.withColumn("__size", size)
     first = int(before * samplerate)
     a, b = search or (0, after)
-    return stats.max_erp(rows, keys, "k", value, first + int(a * samplerate), first + int(b * samplerate))
+    return stats.max_erp(rows, keys, "k", value, first + int(a * samplerate), first + int(b * samplerate), "__size")
 
 
 def tfr_ranktest(spectra: DataFrame, null: DataFrame, key, sample: str, band: tuple[float, float] = (0, 1e16), window: tuple[float, float] = (-1e16, 1e16), alternative: str = "greater", alpha: float = 0.05) -> DataFrame:
