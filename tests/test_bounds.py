@@ -7,7 +7,20 @@ import numpy as np
 import pytest
 
 from trialspark.functions import dsp
-from trialspark.operators import quality, segments, signal, spikes, trialdata
+from pyspark.sql import functions as F
+
+from trialspark.operators import quality, segments, signal, spikes, stats, trialdata
+
+
+def most_read(spark, df):
+    """``df``'s rows and the most records that a stage of it read from shuffles."""
+    sc = spark.sparkContext
+    store, none, doubles = sc._jsc.sc().statusStore(), sc._jvm.java.util.ArrayList(), sc._gateway.new_array(sc._jvm.double, 0)
+    stages = lambda: {(x := got.apply(i)).stageId(): x.shuffleReadRecords() for got in [store.stageList(none, False, False, doubles, none)] for i in range(got.size())}
+    old = stages()
+    rows = df.collect()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    return rows, max(n for i, n in stages().items() if i not in old)
 
 
 @pytest.mark.parametrize("n", [5, 1500])
@@ -108,6 +121,50 @@ def test_mean_peaks_that_tie_but_for_rounding(spark):
     assert [r.at for r in got] == [2] * 60
 
 
+def test_sums_of_ranks_do_not_sort_rows(spark):
+    n = 40000
+    x = spark.range(n).select((F.col("id") % 2).alias("k"), F.when(F.col("id") % 1000 != 0, (F.hash("id") % 3 == 0).cast("int")).alias("y"), (F.pmod(F.hash("id"), F.lit(40)) - 20.0).alias("s"))
+    rows = x.collect()
+    got, read = most_read(spark, stats.auc(x, "k", "y", "s"))
+    assert read < n / 10 and len(got) == 2
+    for r in got:
+        mine = [q for q in rows if q.k == r.k]
+        places = {}
+        for y in (0, 1):
+            other = np.sort([q.s for q in mine if q.y != y])  # rows of no class count as others
+            own = np.array([q.s for q in mine if q.y == y])
+            places[y] = (np.searchsorted(other, own, "left") + np.searchsorted(other, own, "right")) / 2
+        m, z = len(places[1]), len(places[0])
+        assert r.auc == pytest.approx(places[1].sum() / m / z, abs=1e-12)
+        assert r.variance == pytest.approx(places[1].var(ddof=1) / z**2 / m + places[0].var(ddof=1) / m**2 / z, rel=1e-12)
+    got, read = most_read(spark, stats.wilcoxon(x, "k", "s"))
+    assert read < n / 10
+    for r in got:
+        d = [q.s for q in rows if q.k == r.k and q.s]
+        size = np.sort(np.abs(d))
+        assert r.n == len(d) and r.w == sum((np.searchsorted(size, v, "left") + np.searchsorted(size, v, "right") + 1) / 2 for v in d if v > 0)
+
+
+def test_auc_of_one_class(spark):
+    x = spark.createDataFrame([("a", 1, 2.0), ("a", 1, 3.0), ("b", 1, 2.0), ("b", 0, 2.0), (None, 1, 3.0), (None, 0, 1.0)], "k string, y int, s double")
+    assert {r.k: (r.auc, r.variance) for r in stats.auc(x, "k", "y", "s").collect()} == {"a": (None, None), "b": (0.5, None), None: (1.0, None)}
+
+
+def test_running_sums_over_any_values(spark):
+    r = random.Random(7)
+    some = [None, math.nan, math.inf, -math.inf, 0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308] + [r.gauss(0, 1) * 10.0 ** r.randrange(-12, 12) for _ in range(200)] + [1 + k * 2.0**-52 for k in range(40)] + [-(2.0**-40) - k * 2.0**-92 for k in range(40)]
+    rows = [(k, v) for k in ("a", None) for v in some for _ in range(r.randrange(1, 4))]
+    place = lambda v: (0, 0) if v is None else (2, 0) if math.isnan(v) else (1, v)
+    got = stats.placed(spark.createDataFrame(rows, "k string, v double"), "k", "v", n=F.count("*")).collect()
+    assert len(got) == len({(k, place(v)) for k, v in rows})
+    for x in got:
+        mine = [place(v) for k, v in rows if k == x.k]
+        assert (x.n, x.n_below, x.n_of) == (mine.count(place(x.v)), sum(p < place(x.v) for p in mine), len(mine))
+    for v in ("id % 90 - 40", "cast(id % 90 - 40 as decimal(20,2))", "date_add(date'2000-01-01', cast(id % 90 as int))"):
+        got = stats.placed(spark.range(300).select(F.expr(v).alias("v")), [], "v", n=F.count("*")).orderBy("v").collect()
+        assert [x.n_below for x in got] == [sum(y.n for y in got[:i]) for i in range(90)]
+
+
 def test_kinematic_data_filters_the_whole_recording(spark):
     s = spark.createDataFrame([("a", i, math.sin(i / 9), math.cos(i / 9)) for i in range(400)], "u string, i long, x double, y double")
     t = spark.createDataFrame([("a", 0.5, 1.5)], "u string, s double, e double")

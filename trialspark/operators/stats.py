@@ -93,24 +93,72 @@ def fdr(rows: DataFrame, key, p: str, name: str = "p_adjusted") -> DataFrame:
     return x.withColumn(name, F.least(F.lit(1.0), F.min(F.col(p) * F.col("__m") / F.col("__k")).over(down))).drop("__k", "__m")
 
 
+def _whole(keys) -> Column:
+    """The keys as one column; structs are equal where their fields are, nulls included."""
+    return F.struct(*[F.col(c) for c in keys]) if keys else F.lit(0)
+
+
+def placed(rows: DataFrame, key, value: str, **sums: Column) -> DataFrame:
+    """A row for each value of a key (null: the least) with the named sums, each also over the key's smaller values (``name_below``) and all (``name_of``).
+
+    Running sums go through two levels of blocks by the value's logarithm (2^-10 and 2^-32 of an octave), as a key may hold most rows:
+    a task sorts at most 2^22 blocks of a level or the values of one block, some 2^21 doubles. Values that aren't numbers are one block.
+    """
+    keys, names = _keys(key), list(sums)
+    x = F.col(value).cast("double") if any(rows.schema[value].dataType.typeName().startswith(t) for t in ("byte", "short", "int", "long", "float", "double", "decimal")) else F.lit(0.0)
+    u = F.signum(x) * F.when(x == 0, 0.0).otherwise(F.least(F.log2(F.abs(x)) + 1100, F.lit(5000.0)))
+    u = F.coalesce(F.when(F.isnan(x), F.lit(9000.0)).otherwise(u), F.lit(-9000.0))
+    blocks = {"__b1": F.coalesce(F.floor(u * 2.0**10), F.lit(0)), "__b2": F.coalesce(F.floor(u * 2.0**32), F.lit(0))}
+    each = rows.groupBy(_whole(keys).alias("__k"), value).agg(*[c.alias(n) for n, c in sums.items()]).withColumns(blocks)
+    fine = each.groupBy("__k", "__b1", "__b2").agg(*[F.sum(n).alias(n) for n in names])
+    coarse = fine.groupBy("__k", "__b1").agg(*[F.sum(n).alias(n) for n in names])
+
+    def below(level: DataFrame, within: list[str], order: str) -> DataFrame:
+        w = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return level.withColumns({f"{n}_below": F.coalesce(F.sum(n).over(w), F.lit(0)) for n in names})
+
+    def add(level: DataFrame, upper: DataFrame, on: list[str]) -> DataFrame:
+        up = upper.select(*on, *[F.col(f"{n}_below").alias(f"__up_{n}") for n in names], *[f"{n}_of" for n in names])
+        return level.join(up, on).withColumns({f"{n}_below": F.col(f"{n}_below") + F.col(f"__up_{n}") for n in names}).drop(*[f"__up_{n}" for n in names])
+
+    top = below(coarse, ["__k"], "__b1").withColumns({f"{n}_of": F.sum(n).over(Window.partitionBy("__k")) for n in names})
+    mid = add(below(fine, ["__k", "__b1"], "__b2"), top, ["__k", "__b1"])
+    got = add(below(each, ["__k", "__b1", "__b2"], value), mid, ["__k", "__b1", "__b2"])
+    return got.select(*[F.col(f"__k.{c}").alias(c) for c in keys], value, *names, *[f"{n}_below" for n in names], *[f"{n}_of" for n in names])
+
+
 def midranks(rows: DataFrame, key, value: str, name: str = "midrank") -> DataFrame:
-    """Average ranks from 1; ties share theirs."""
+    """Average ranks from 1; ties share theirs. A key's rows are sorted in one task; sums of ranks go through ``placed``."""
     keys = _keys(key)
     w = Window.partitionBy(*keys)
     return rows.withColumn(name, F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2.0)
 
 
 def auc(rows: DataFrame, key, truth: str, score: str) -> DataFrame:
-    """``(key, auc, variance)`` of a score for a 0/1 truth, DeLong's variance by midranks."""
+    """``(key, auc, variance)`` of a score for a 0/1 truth, DeLong's variance by midranks; null where a class has no row (variance: one row).
+
+    Sums go over the values of the score, not the rows, and are exact integers.
+    """
     keys = _keys(key)
-    x = midranks(rows, keys, score, "__all")
-    x = midranks(x, [*keys, truth], score, "__own")
-    x = x.withColumn("__place", F.col("__all") - F.col("__own"))  # of the other class below, ties half
-    got = x.groupBy(*keys).agg(
-        F.sum(F.when(F.col(truth) == 1, F.col("__place"))).alias("s"), F.sum((F.col(truth) == 1).cast("long")).alias("m"), F.sum((F.col(truth) == 0).cast("long")).alias("n"),
-        F.var_samp(F.when(F.col(truth) == 1, F.col("__place"))).alias("vm"), F.var_samp(F.when(F.col(truth) == 0, F.col("__place"))).alias("vn"),
-    )
-    return got.select(*keys, (F.col("s") / F.col("m") / F.col("n")).alias("auc"), (F.col("vm") / (F.col("n") * F.col("n")) / F.col("m") + F.col("vn") / (F.col("m") * F.col("m")) / F.col("n")).alias("variance"))
+    x = placed(rows, keys, score, __a=F.count("*"), **{f"__{k}": F.count(F.when(F.col(truth) == k, 1)) for k in (0, 1)})
+    sums = []
+    for own in ("__0", "__1"):
+        place = 2 * (F.col("__a_below") - F.col(f"{own}_below")) + F.col("__a") - F.col(own)  # twice the rows of others below, ties half
+        whole = place.cast("decimal(19,0)")
+        s = F.col(own).cast("decimal(19,0)") * whole
+        sums += [F.sum(own).alias(own), F.sum(s).alias(f"{own}s"), F.sum(s * whole).alias(f"{own}q")]
+    got = x.groupBy(*keys).agg(*sums)
+
+    def variance(own: str) -> Column:
+        """Squares about the whole part of the mean, less what that part is off."""
+        n, s, q = F.col(own).cast("decimal(19,0)"), F.col(f"{own}s"), F.col(f"{own}q")
+        c = F.when(n > 0, F.expr(f"{own}s div {own}")).cast("decimal(19,0)")
+        off = s - c * n
+        return F.try_divide((q - c * off - c * s).cast("double") - F.try_divide((off * off).cast("double"), n.cast("double")), n.cast("double") - 1) / 4
+
+    n, m = F.col("__0").cast("double"), F.col("__1").cast("double")
+    area = F.try_divide(F.try_divide(F.col("__1s").cast("double") / 2, m), n)
+    return got.select(*keys, area.alias("auc"), (F.try_divide(F.try_divide(variance("__1"), n * n), m) + F.try_divide(F.try_divide(variance("__0"), m * m), n)).alias("variance"))
 
 
 def empirical_p(null: DataFrame, samples: DataFrame, key, value: str, sample: str, two_sided: bool = True) -> DataFrame:
@@ -261,8 +309,8 @@ def wilcoxon(rows: DataFrame, key, difference: str, alternative: str = "two-side
     """``(key, n, w, z, p)``: signed rank test with the normal approximation, zeros left out, ties corrected."""
     keys = _keys(key)
     x = rows.where((F.col(difference) != 0) & _value(difference).isNotNull()).withColumn("__a", F.abs(difference))
-    x = midranks(x, keys, "__a", "__r")
-    ties = x.groupBy(*keys, "__a").agg(F.count("*").alias("__t"), F.sum(F.when(F.col(difference) > 0, F.col("__r")).otherwise(0.0)).alias("__w"))
+    ties = placed(x, keys, "__a", __t=F.count("*"), __up=F.count(F.when(F.col(difference) > 0, 1)))
+    ties = ties.withColumn("__w", F.col("__up") * (F.col("__t_below") + 1 + (F.col("__t") - 1) / 2.0))
     s = ties.groupBy(*keys).agg(F.sum("__t").alias("n"), F.sum("__w").alias("w"), F.sum(F.pow("__t", F.lit(3)) - F.col("__t")).alias("__c"))
     n = F.col("n")
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("__c") / 48)
