@@ -9,7 +9,7 @@ import pytest
 from trialspark.functions import dsp
 from pyspark.sql import functions as F
 
-from trialspark.operators import quality, segments, signal, spikes, stats, trialdata
+from trialspark.operators import figures, quality, segments, signal, spikes, stats, trialdata
 
 
 def most_read(spark, df):
@@ -165,6 +165,27 @@ def test_running_sums_over_any_values(spark):
         assert [x.n_below for x in got] == [sum(y.n for y in got[:i]) for i in range(90)]
 
 
+def test_boxes_do_not_sort_rows(spark):
+    n = 400000  # of key 0 three quarters: its quartiles meet its values in five parts
+    v = "case when id % 97 = 0 then null when id % 1009 = 0 then 1e4 - id % 5 else pmod(hash(id), 901) / 4.0 - 50 end"
+    x = spark.range(n).select(F.expr("if(id % 20 = 1, null, if(id % 4 = 1, 1, 0))").alias("k"), F.expr(v).alias("v"))
+    x = x.unionByName(spark.createDataFrame([(2, None), (3, 7.0), (4, 1.0), (4, 2.0)], "k int, v double"))
+    got, read = most_read(spark, figures.boxes(x, "k", "v"))
+    assert read < n / 10
+    got = {r.k: tuple(r)[1:] for r in got}
+    assert got.pop(2) == (0, None, None, None, None, None, None)
+    assert got.pop(3) == (1, 7.0, 7.0, 7.0, 7.0, 7.0, 0)
+    assert got.pop(4) == (2, 1.0, 1.25, 1.5, 1.75, 2.0, 0)
+    assert set(got) == {0, 1}
+    for k, (count, low, q1, median, q3, high, out) in got.items():
+        a = np.array([r.v for r in x.where(f"k = {k} and v is not null").collect()])
+        quarters = np.percentile(a, [25, 50, 75])
+        r = 1.5 * (quarters[2] - quarters[0])
+        inside = a[(a >= quarters[0] - r) & (a <= quarters[2] + r)]
+        assert (count, low, high, out) == (len(a), inside.min(), inside.max(), len(a) - len(inside)) and out > 0
+        assert (q1, median, q3) == pytest.approx(tuple(quarters))
+
+
 def test_kinematic_data_filters_the_whole_recording(spark):
     s = spark.createDataFrame([("a", i, math.sin(i / 9), math.cos(i / 9)) for i in range(400)], "u string, i long, x double, y double")
     t = spark.createDataFrame([("a", 0.5, 1.5)], "u string, s double, e double")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialspark.operators.segments import _keys
+from trialspark.operators.stats import placed
 from trialspark.operators.temporal import rolling_mean
 
 
@@ -31,13 +32,30 @@ def by_trial(rows: DataFrame, key, day: str, order: str, value: str, trials: str
 
 
 def boxes(rows: DataFrame, key, value: str, whisker: float = 1.5) -> DataFrame:
-    """``(key, n, low, q1, median, q3, high, outliers)``: whiskers are the furthest values within 1.5 quartile ranges."""
+    """``(key, n, low, q1, median, q3, high, outliers)``: whiskers are the furthest values within 1.5 quartile ranges.
+
+    Quartiles are found by running counts of the values; they meet the values again by parts of a key, as a key may hold most rows.
+    """
     keys = _keys(key)
-    q = rows.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__q"))
-    x = rows.join(q, keys).withColumn("__r", whisker * (F.col("__q")[2] - F.col("__q")[0]))
-    inside = (F.col(value) >= F.col("__q")[0] - F.col("__r")) & (F.col(value) <= F.col("__q")[2] + F.col("__r"))
-    got = x.groupBy(*keys).agg(F.count(value).alias("n"), F.min(F.when(inside, F.col(value))).alias("low"), F.first("__q").alias("__q"), F.max(F.when(inside, F.col(value))).alias("high"), F.sum((~inside).cast("long")).alias("outliers"))
-    return got.select(*keys, "n", "low", F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"), F.col("__q")[2].alias("q3"), "high", "outliers")
+    for c in keys:
+        rows = rows.where(F.col(c).isNotNull())
+    x = placed(rows, keys, value, __n=F.count(value))
+
+    def at(place) -> Column:
+        return F.max(F.when((F.col("__n_below") <= place) & (place < F.col("__n_below") + F.col("__n")), F.col(value).cast("double")))
+
+    places = {q: (F.col("__n_of") - 1) * p for q, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))}
+    got = x.groupBy(*keys).agg(F.max("__n_of").alias("__n_of"), *[at(f(p)).alias(f"__{i}_{q}") for q, p in places.items() for i, f in enumerate((F.floor, F.ceil))])
+    for q, p in places.items():
+        a, b = F.col(f"__0_{q}"), F.col(f"__1_{q}")
+        got = got.withColumn(q, F.when(a == b, a).otherwise((F.ceil(p) - p) * a + (p - F.floor(p)) * b))
+    parts = F.ceil((F.col("__n_of") + 1) / 2**16).cast("long")
+    q = got.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).select(*keys, "__part", *places)
+    x = x.withColumn("__part", F.pmod(F.xxhash64(value), parts)).join(q, [*keys, "__part"])
+    r = whisker * (F.col("q3") - F.col("q1"))
+    inside = (F.col(value) >= F.col("q1") - r) & (F.col(value) <= F.col("q3") + r)
+    whisk = lambda f: f(F.when(inside, F.col(value)))
+    return x.groupBy(*keys).agg(F.sum("__n").alias("n"), whisk(F.min).alias("low"), *[F.max(c).alias(c) for c in places], whisk(F.max).alias("high"), F.sum((~inside).cast("long") * F.col("__n")).alias("outliers"))
 
 
 def circular_histogram(rows: DataFrame, key, angle: str, bins: int = 16) -> DataFrame:
